@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import bpe, exact_dedup, mixing, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        bpe.op1_bpe,
         exact_dedup.op6_exact_dedup,
         mixing.op7_mixing,
+        pii.op8_pii,
+        simhash.op9_simhash,
     )
     return {f.__name__: f for f in found}
 
