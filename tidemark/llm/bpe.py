@@ -22,6 +22,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -69,6 +70,7 @@ class Codec:
         self.bytes_of = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for k, v in [*vocab.items(), *((s.encode(), i) for s, i in special.items())]:
             self.bytes_of[v] = k
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
 
     def encode(self, text: str | None) -> list[int]:
