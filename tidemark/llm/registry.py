@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, language, mixing, neighbours, pii, quality, simhash, token_counts
+from tidemark.llm import bpe, exact_dedup, language, mixing, neighbours, pii, quality, repeats, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe.op1_bpe,
         token_counts.op2_token_counts,
         neighbours.op3_neighbours,
+        repeats.op4_repeats,
         language.op5_language_id,
         exact_dedup.op6_exact_dedup,
         mixing.op7_mixing,
