@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import table
 
-PIECE, LEAF, WINDOW = 1 << 16, 1 << 11, 16
+PIECE, LEAF, WINDOW, THREADS = 1 << 16, 1 << 11, 16, 2
 
 
 def default_vocabulary() -> str:
@@ -133,7 +133,7 @@ class Codec:
     def tree(self, unit: str) -> list[int]:
         """The ids of one long unit, by halves."""
         leaves = [unit[i : i + LEAF] for i in range(0, len(unit), LEAF)]
-        level = [(x, self.bpe.encode_ordinary(x)) for x in leaves]
+        level = list(zip(leaves, self.bpe.encode_ordinary_batch(leaves, num_threads=THREADS), strict=True))
         while len(level) > 1:
             level = [self.join(*level[i], *level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0][1]

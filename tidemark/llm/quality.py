@@ -157,9 +157,9 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> D
     scored = written(with_perplexity(docs.select("doc_id", "lang", "text"), found).drop("text"), "perplexity")
     limits = written(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
     own = small(limits.where("known").select(F.col("lang").alias("__lang"), "threshold"))
-    every = limits.where("NOT known").select(F.col("threshold").alias("__all")).limit(1)
-    rows = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(every), F.lit(True), "left")
-    limit = F.coalesce("threshold", "__all")
+    every = limits.where("NOT known").select("threshold").first()
+    rows = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    limit = F.coalesce("threshold", F.lit(every.threshold if every else None).cast("double"))
     kept = F.col("perplexity").isNotNull() & (F.coalesce(limit, F.col("perplexity")) >= F.col("perplexity"))
     return rows.select("doc_id", "lang", "perplexity", limit.alias("threshold"), kept.alias("kept"))
 

@@ -248,7 +248,8 @@ def _resolved_hot(rows: DataFrame, length: int, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(s.column(c).take(take) for c in ("key", "a", "r1", "r2")), pa.array(x.astype(np.int32)), pa.array(u[x, row].view(np.int64))], ["key", "a", "r1", "r2", "x", "u"])
 
     each = rows.mapInArrow(run, "key binary, a int, r1 long, r2 long, x int, u long")
-    again = each.groupBy("r1", "r2", "x", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # written, so that both sides of the join are plain shuffles and hot strings can be split
+    again = written(each.groupBy("r1", "r2", "x", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "again")
     return each.join(again, ["r1", "r2", "x", "u"], "left_semi").selectExpr("key", "a - x AS start", f"a - x + {length} AS end")
 
 

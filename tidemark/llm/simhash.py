@@ -146,7 +146,8 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     marked = per.join(roots.withColumnRenamed("u", "__fp"), "__fp", "left").select("__fp", "first", F.coalesce("root", "__fp").alias("root"))
     marked = written(marked, "roots")
     named = marked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named, "root").select("__fp", "component_id")
+    # written, so that joins with it are plain shuffles and a hot fingerprint's rows can be split
+    return written(marked.join(named, "root").select("__fp", "component_id"), "classes")
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
