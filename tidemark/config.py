@@ -86,7 +86,9 @@ class Duplicates:
 
 @dataclass(frozen=True)
 class Run:
-    """A run over a message stream: a snapshot every `interval` processed messages, `top` terms in a report, `tracked` terms in its candidate set."""
+    """A run over a message stream: a snapshot every `interval` processed messages, `top` terms in a report.
+
+    All terms are candidates for a report; `tracked` only bounds how many it may ask for."""
 
     interval: int = 100
     top: int = 10
@@ -99,5 +101,5 @@ class Run:
 
     def __post_init__(self):
         _need(self.interval > 0, "interval must be positive")
-        _need(self.top > 0 and self.tracked > 0, "top and tracked must be positive")
+        _need(0 < self.top <= self.tracked, "top must be positive, and at most tracked")
         _need(self.max_messages is None or self.max_messages >= 0, "max_messages must not be negative")

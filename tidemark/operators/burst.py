@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Burst, CountMin
 from tidemark.operators.frequency import cells_of
+from tidemark.plans.storage import hinted
 
 
 def per_message(toks: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def at(events: DataFrame, times: DataFrame, key: str, config: Burst) -> DataFram
     The range join goes by blocks as long as the window: a time meets the events of its own block and of the one before, an equi-join."""
     w, h = config.window, config.half
     times = times.select("t", F.explode(F.array(F.floor(F.col("t") / w), F.floor(F.col("t") / w) - 1)).alias("block"))
-    rows = events.withColumn("block", F.floor(F.col("seq") / w)).join(F.broadcast(times), "block").where((F.col("seq") <= F.col("t")) & (F.col("seq") > F.col("t") - 2 * h))
+    rows = events.withColumn("block", F.floor(F.col("seq") / w)).join(hinted(times), "block").where((F.col("seq") <= F.col("t")) & (F.col("seq") > F.col("t") - 2 * h))
     late = F.col("seq") > F.col("t") - h
     counts = rows.groupBy("t", key).agg(F.sum(F.when(late, F.col("n")).otherwise(0)).alias("recent_count"), F.sum(F.when(late, 0).otherwise(F.col("n"))).alias("prev_count"))
     return _judged(counts, config)

@@ -68,10 +68,10 @@ def top(rows: DataFrame, by: str, n: int) -> DataFrame:
 def top_at_snapshots(toks: DataFrame, interval: int, n: int) -> DataFrame:
     """The n most frequent tokens up to every snapshot: t, tok, n, rk. A token's count changes only where it occurs, so it is summed there and carried on to its next change."""
     per = toks.groupBy(F.ceil(F.col("seq") / interval).alias("i"), "tok").agg(F.count(F.lit(1)).alias("k"))
-    last = toks.agg(F.floor(F.max("seq") / interval).alias("last"))
+    last = F.lit(toks.agg(F.floor(F.coalesce(F.max("seq"), F.lit(0)) / interval).alias("last")).first().last)
     order = Window.partitionBy("tok").orderBy("i")
-    runs = per.select("tok", "i", F.sum("k").over(order).alias("n"), F.lead("i").over(order).alias("nxt")).join(F.broadcast(last))
-    until = F.least(F.coalesce(F.col("nxt") - 1, F.col("last")), F.col("last"))
+    runs = per.select("tok", "i", F.sum("k").over(order).alias("n"), F.lead("i").over(order).alias("nxt"))
+    until = F.least(F.coalesce(F.col("nxt") - 1, last), last)
     at = runs.withColumn("until", until).where("until >= i").select("tok", "n", F.explode(F.sequence("i", "until")).alias("i"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("n").desc(), "tok"))
     return at.withColumn("rk", rank.cast("long")).where(F.col("rk") <= n).select((F.col("i") * interval).alias("t"), "tok", "n", "rk")

@@ -15,9 +15,9 @@ from tidemark.plans.storage import written
 
 
 def processed_order(scored: DataFrame, exclude: bool) -> DataFrame:
-    """scored: seq, is_duplicate. Adds processed: how many messages up to and with this one were not excluded, null for excluded ones."""
+    """scored: seq, is_duplicate. Adds upto, how many messages up to and with this one were not excluded, and processed, the same but null for excluded ones."""
     keep = ~F.col("is_duplicate") if exclude else F.lit(True)
-    return running_total(scored.withColumn("__one", keep.cast("long")), "__one", "upto").withColumn("processed", F.when(keep, F.col("upto"))).drop("__one", "upto")
+    return running_total(scored.withColumn("__one", keep.cast("long")), "__one", "upto").withColumn("processed", F.when(keep, F.col("upto"))).drop("__one")
 
 
 class MessageRun:
@@ -43,19 +43,22 @@ class MessageRun:
 
     def top_tokens(self) -> DataFrame:
         """t, tok, est, rk: estimates over all messages up to t of tokens that non-excluded messages brought."""
-        times = self.snapshot_times()
-        cells = frequency.cells_of(self.per_message, self.config.count_min)
-        last = Window.partitionBy("r", "c").orderBy("t")
-        due = times.select("t", F.lag("t", 1, 0).over(Window.orderBy("t")).alias("after"))
-        grown = cells.join(F.broadcast(due), (F.col("seq") > F.col("after")) & (F.col("seq") <= F.col("t"))).groupBy("r", "c", "t").agg(F.sum("n").alias("n"))
-        every = cells.select("r", "c").distinct().join(F.broadcast(times.select("t")))
-        upto = every.join(grown, ["r", "c", "t"], "left").withColumn("v", F.coalesce(F.sum("n").over(last), F.lit(0)))
-        shown = self.scored.where(F.col("processed").isNotNull()).select("seq")
-        first = self.per_message.join(shown, "seq").groupBy("tok").agg(F.min("seq").alias("first"))
-        keys = first.join(F.broadcast(times.select("t")), F.col("first") <= F.col("t")).select("t", "tok")
-        est = frequency.cells_of(keys, self.config.count_min).join(upto.select("r", "c", "t", "v"), ["r", "c", "t"]).groupBy("t", "tok").agg(F.min("v").alias("est"))
-        rank = F.row_number().over(Window.partitionBy("t").orderBy(F.col("est").desc(), "tok"))
-        return est.withColumn("rk", rank.cast("long")).where(F.col("rk") <= self.config.top)
+        n, times = self.config.interval, self.snapshot_times().select("t", F.floor(F.col("processed") / self.config.interval).alias("i"))
+        last = times.agg(F.coalesce(F.max("i"), F.lit(0)).alias("last")).first().last
+        due = F.when(F.col("processed").isNull(), F.floor(F.col("upto") / n) + 1).otherwise(F.ceil(F.col("processed") / n))
+        rows = self.per_message.join(self.scored.select("seq", due.alias("i"), F.col("processed").isNotNull().alias("shown")), "seq").where(F.col("i") <= last)
+
+        def carried(found: DataFrame, keys: list[str], values: list) -> DataFrame:
+            """found has rows by keys and i; a row for every later i, up to the next one."""
+            runs = found.select(*keys, "i", *values, F.lead("i").over(Window.partitionBy(*keys).orderBy("i")).alias("nxt"))
+            return runs.select(*keys, *[c for c in runs.columns if c not in (*keys, "i", "nxt")], F.explode(F.sequence("i", F.coalesce(F.col("nxt") - 1, F.lit(last)))).alias("i"))
+
+        cells = frequency.cells_of(rows, self.config.count_min).groupBy("r", "c", "i").agg(F.sum("n").alias("n"))
+        upto = carried(cells, ["r", "c"], [F.sum("n").over(Window.partitionBy("r", "c").orderBy("i")).alias("v")])
+        known = carried(rows.where("shown").groupBy("tok").agg(F.min("i").alias("i")), ["tok"], [])
+        est = frequency.cells_of(known, self.config.count_min).join(upto, ["r", "c", "i"]).groupBy("i", "tok").agg(F.min("v").alias("est"))
+        rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("est").desc(), "tok"))
+        return est.withColumn("rk", rank.cast("long")).where(F.col("rk") <= self.config.top).join(times, "i").select("t", "tok", "est", "rk")
 
     def bursts(self, final: bool = False) -> DataFrame:
         """t, bin, recent_count, prev_count, ratio, representative."""

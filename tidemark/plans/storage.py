@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,3 +27,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def hinted(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many (narrow) rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if small(df, rows) else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Bloom, Burst, CountMin, Duplicates, Run
@@ -301,12 +301,11 @@ def bloom_membership(spark, d):
 _SUMMARY = "CAST(count(*) FILTER ({k}) AS BIGINT) AS processed, CAST(count(*) FILTER (NOT {k}) AS BIGINT) AS excluded, CAST(count(*) FILTER ({k} AND is_duplicate) AS BIGINT) AS total"
 
 
-@query(f"""{_BASE_D}, {_HITS}, {_SCORE}, s AS (SELECT {_SUMMARY.format(k='true')}, sum(CAST(round(duplicate_score * 1e9) AS BIGINT)) AS q FROM sc)
-SELECT processed, excluded, total, CAST(total AS DOUBLE) / processed AS rate, CAST(q // processed AS BIGINT) AS avg_score_e9 FROM s""")
+@query(f"""{_BASE_D}, {_HITS}, {_SCORE}, s AS (SELECT {_SUMMARY.format(k='true')}, sum(duplicate_score) AS q FROM sc)
+SELECT processed, excluded, total, CAST(total AS DOUBLE) / processed AS rate, CAST(round(q / processed * 1e6::DOUBLE) AS BIGINT) AS avg_score_e6 FROM s""")
 def dup_summary(spark, d):
     scored = duplicates.exact(*_doc_messages(spark, d), DUP)
-    whole = scored.agg(F.sum(F.round(F.col("duplicate_score") * 1e9).cast("long")).alias("q"))
-    return duplicates.summary(scored).join(F.broadcast(whole)).select("processed", "excluded", "total", "rate", F.expr("q div processed").alias("avg_score_e9"))
+    return duplicates.summary(scored).select("processed", "excluded", "total", "rate", F.round(F.col("avg_score") * 1e6).cast("long").alias("avg_score_e6"))
 
 
 @query(f"{_BASE_D}, {_HITS}, {_SCORE} SELECT tok, CAST(count(*) AS BIGINT) AS n FROM tk JOIN sc USING (seq) WHERE NOT is_duplicate GROUP BY tok")
@@ -365,7 +364,9 @@ def snapshots(spark, d):
     new = run.per_message.groupBy("tok").agg(F.min("seq").alias("f")).groupBy(F.ceil(F.col("f") / INTERVAL).alias("i")).agg(F.count(F.lit(1)).alias("d"))
     n = run.per_message.groupBy(F.ceil(F.col("seq") / INTERVAL).alias("i")).agg(F.sum("n").alias("n"))
     both = n.join(new, "i", "full").na.fill(0)
-    upto = times.join(F.broadcast(both), F.col("i") * INTERVAL <= F.col("t")).groupBy("t", "processed").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_distinct"))
+    order = Window.orderBy("i")  # a row per snapshot interval
+    sums = both.select((F.col("i") * INTERVAL).alias("t"), F.sum("n").over(order).alias("n_tokens"), F.sum("d").over(order).alias("n_distinct"))
+    upto = times.join(sums, "t")
     found = burst.at(burst.bin_events(run.per_message, CMS), times.select("t"), "bin", BURST).groupBy("t").agg(F.count(F.lit(1)).alias("n_bursts"))
     return upto.join(found, "t", "left").select("t", F.col("processed").alias("message_count"), "n_tokens", "n_distinct", F.coalesce("n_bursts", F.lit(0)).cast("long").alias("n_bursts"))
 
@@ -374,8 +375,9 @@ def snapshots(spark, d):
 CAST((SELECT count(*) FROM m) // {INTERVAL} AS BIGINT) AS snapshots FROM s""")
 def summary_counts(spark, d):
     m = _messages(spark, d)
-    n = frequency.counts(X.tokens(m)).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct_tokens"))
-    return m.agg(F.count(F.lit(1)).alias("processed")).join(F.broadcast(n)).select("processed", "tokens", "distinct_tokens", F.floor(F.col("processed") / INTERVAL).alias("snapshots"))
+    n = m.count()
+    sums = frequency.counts(X.tokens(m)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct_tokens"))
+    return sums.select(F.lit(n).cast("long").alias("processed"), "tokens", "distinct_tokens", F.lit(n // INTERVAL).cast("long").alias("snapshots"))
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:

@@ -74,6 +74,18 @@ class MessageStream:
         """tok, n."""
         return self._table("counts").groupBy("tok").agg(F.sum("n").alias("n"))
 
+    def cells(self) -> DataFrame:
+        """The Count-Min Sketch of all messages so far: r, c, v."""
+        return frequency.cms_add(self.frequencies(), self.config.count_min)
+
+    def estimates(self, terms: list[str]) -> DataFrame:
+        """term, est."""
+        return frequency.estimate_terms(terms, self.cells(), self.config.count_min)
+
+    def top(self, n: int | None = None) -> DataFrame:
+        """tok, est, rk: the terms with the highest estimates now."""
+        return frequency.top(frequency.cms_estimate(self.frequencies().select("tok"), self.cells(), self.config.count_min), "est", n or self.config.top)
+
     def duplicates(self) -> DataFrame:
         return self._table("scores").drop("batch")
 
