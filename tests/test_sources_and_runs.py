@@ -181,3 +181,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["t", "tok", "n", "rk"]
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stream_reports(spark):
+    s = MessageStream(spark, Run(top=2), ["k"])
+    assert s.frequencies().count() == 0 and s.bursts().count() == 0 and s.top().count() == 0
+    s.batch(spark.createDataFrame([(1, "red red blue"), (2, "blue green red")], "k int, body string"), 0)
+    assert [(r.tok, r.est, r.rk) for r in s.top().orderBy("rk").collect()] == [("red", 3, 1), ("blue", 2, 2)]
+    assert {r.term: r.est for r in s.estimates(["RED", "none"]).collect()} == {"RED": 3, "none": 0}
