@@ -41,3 +41,21 @@ def test_stages_against_brute_force(spark):
 
 def test_run_is_its_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, size int, __fp string, score double, n int, spans int"
+    text = "the cat sat on the mat and looked at the dog " * 4
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (None, text + "x", None, None, None), (3, "", "fr", "b", 0), (4, "!!", "fr", "b", 0), (5, "chat " * 30_000, "fr", None, 1), (6, text.upper(), "en", "a", 9)]
+    docs = spark.createDataFrame([(*r, 1, 2, "f", 0.5, 3, 4) for r in rows], schema)
+    for start in (docs, docs.limit(0)):
+        frame = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, SF)
+            assert frame.columns == docs.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
+        assert {r.doc_id for r in out} <= {None, 1, 5, 6} and bool(out) == (start is docs)
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == ["1", "1", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.exact(spark, docs, SF).collect()) == ["1", "2", "4", "5", "6", "None"]
+    kept = [str(r.doc_id) for r in corpus_pipeline.near(spark, docs, SF).collect()]
+    assert kept.count("1") == 1 and "6" not in kept and "3" not in kept

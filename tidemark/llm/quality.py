@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import small, table, written
 
-ORDER, SYMBOLS, QUANTILE, STEP = 4, 64, 0.98, 1e-3
+ORDER, SYMBOLS, QUANTILE, STEP = 4, 64, 0.995, 1e-3
 
 _BITS = 6
 
