@@ -111,6 +111,7 @@ def _glyphs() -> dict[str, str]:
 
 _GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
+_GLYPH_SET = frozenset(_GLYPHS)
 
 # The digits' names in the corpus languages, from 0 on.
 _NAMES = (
@@ -125,14 +126,15 @@ _WORD = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
 _POINT = r"(?: ?[\[({] ?(?:dot|punkt|point|punto|\.) ?[\])}] ?| (?:dot|punkt|point|punto) )"
 _SPELLED = re.compile(rf"(?:\bplus[ -]+|\+ ?)?(?<!\w)(?:{_WORD}|[0-9]+)(?:(?:[ ,-]{{1,3}}|{_POINT}|\.)(?:{_WORD}|[0-9]+)(?!\w)){{3,}}", re.I)
 _SPELLED_PART = re.compile(rf"(?P<p>{_POINT}|\.)|(?P<w>{_WORD})|(?P<d>[0-9])|(?P<plus>plus|\+)|(?P<s>[ ,-])", re.I)
-_SPELLED_SOON = re.compile(rf"(?<!\w){_WORD}[ ,-]{{1,3}}(?:{_WORD}|[0-9]+)(?:[ ,-]|{_POINT})", re.I)
+_POINT_WORDS = frozenset("dot punkt point punto".split())
 _LETTERED = re.compile(r"(?<![0-9A-Za-z])\+?[0-9OolI](?:[ .-]?[0-9OolI]){7,}(?![0-9A-Za-z])")
 _LETTER_DIGITS = str.maketrans("OolI", "0011")
 
 _AT = r"(?:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s|@)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\.)"
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
-_ADDRESS_SOON = re.compile(r"\sat\s|[\[({<]\s?(?:at|@)\s?[\])}>]|@[^\s@]*(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s)", re.I)
+_ADDRESS_SOON = re.compile(r"\s[aA][tT]\s[A-Za-z0-9-]+(?:\s?[\[({<]|\s[dD][oO][tT]\s|\.[A-Za-z0-9])|[\[({<]\s?(?:[aA][tT]|@)\s?[\])}>]|@[^\s@]*(?:\s?[\[({<]\s?(?:[dD][oO][tT]|\.)\s?[\])}>]|\s[dD][oO][tT]\s)")
+_SOME_DIGITS = re.compile(r"[0-9][OolI .-]{0,6}[0-9]")
 # Endings that make bare "at" and "dot" an address.
 _ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv uk de fr es it nl be at ch eu us ca au nz jp cn in br mx se no dk fi pl pt ru ie".split())
 _ADDRESS_PART = re.compile(rf"(?P<a>{_AT})|(?P<d>{_DOT})", re.I)
@@ -199,17 +201,28 @@ def _touches(span: Span, found: list[Span]) -> bool:
     return any(a < span[1] and span[0] < b for a, b in found)
 
 
+def _spelled_soon(text: str) -> bool:
+    """Whether a digit's name stands before another, a number, or a point; a run of names has such a place."""
+    words = text.lower().replace(",", " ").replace("-", " ").replace(".", " ").split()
+    if _VALUE.keys().isdisjoint(words):
+        return False
+    named = False
+    for w in words:
+        if named and (w in _VALUE or w[0] in "0123456789[({" or w in _POINT_WORDS):
+            return True
+        named = w in _VALUE
+    return False
+
+
 def disguised_spans(text: str, base: list[list[Span]]) -> list[list[Span]]:
     """The spans that only deobfuscation shows, by kind."""
-    glyphs = not text.isascii() and _GLYPH.search(text)
-    if not (glyphs or _SPELLED_SOON.search(text) or _ADDRESS_SOON.search(text) or _LETTERED.search(text)):
-        return [[], [], [], []]
     m = None
-    if glyphs:
+    if not text.isascii() and not _GLYPH_SET.isdisjoint(text):
         m = Mapped(text)
         m.rewrite([(*g.span(), _GLYPHS[g[0]]) for g in _GLYPH.finditer(text)])
-    for find_edits in (_addresses, _spelled, _lettered):
-        if edits := find_edits(m.text if m else text):
+    for soon, find_edits in ((_ADDRESS_SOON.search, _addresses), (_spelled_soon, _spelled), (_SOME_DIGITS.search, _lettered)):
+        now = m.text if m else text
+        if soon(now) and (edits := find_edits(now)):
             m = m or Mapped(text)
             m.rewrite(edits)
     if m is None:
