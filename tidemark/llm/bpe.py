@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import arrow_map, table
 
 PIECE, LEAF, WINDOW, THREADS = 1 << 16, 1 << 11, 16, 2
 
@@ -186,7 +186,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
             new = pa.array([c.encode(x) for x in b.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), new], [*(f.name for f in keep), ids])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return arrow_map(docs, run, T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -201,7 +201,7 @@ def decoded(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "dec
             new = pa.array([c.decode(x) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), new], [*(f.name for f in keep), text])
 
-    return rows.mapInArrow(run, T.StructType([*keep, T.StructField(text, T.StringType())]))
+    return arrow_map(rows, run, T.StructType([*keep, T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
@@ -227,7 +227,7 @@ def round_trip(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Data
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, schema)
 
 
 def _running(n: list[int]) -> list[int]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts define it, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -15,6 +17,16 @@ SPACE = r"\x20\x09-\x0D"
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of an Arrow batch at most, beside a single row that is larger: texts may be long, and a batch exists several times over on both sides.
+ARROW_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with bounded batches; the bound holds for the session from then on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import arrow_map, table
 
 ROWS, LONG, TRAIN, STATES, BLOCK, FOLDS = 200, 20_000, 48_000, 480_000, 1024, 5
 UNKNOWN = "und"
 
 #: Symbols of an automaton: a space, other letters, the commonest letters of the sample; and one that fills up blocks.
-_LETTERS, _LANES = 60, 1 << 15
+_LETTERS, _LANES = 60, 1 << 13
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,7 +97,7 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[cur] = twin
         last = cur
     n = len(to)
-    out = np.full((n + 1, width), -1, np.int64)
+    out = np.full((n + 1, width), -1, np.int32)
     for s, edges in enumerate(to):
         for c, q in edges.items():
             out[s, c] = q
@@ -106,7 +106,7 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
     # states count from 1, so that the sign can tell
     out = np.where(out < 0, -(start + 1)[None, :], out + 1) * width
     out[:, width - 1] = np.arange(1, n + 2) * width
-    return np.concatenate([np.zeros(width, np.int64), out.ravel()]).astype(np.int32)
+    return np.concatenate([np.zeros(width, np.int32), out.ravel()])
 
 
 class Model:
@@ -173,24 +173,24 @@ def model(texts: tuple[tuple[str, str], ...]) -> Model:
     return Model(texts)
 
 
-def with_language(docs: DataFrame, learn_from: DataFrame, name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score in two new columns; needs a column text."""
+def with_language(docs: DataFrame, learn_from: DataFrame, name: str = "lang_pred", score: str = "score", within: str | None = None) -> DataFrame:
+    """docs with the predicted language and its score in two new columns; needs a column text, or a struct `within` that has it."""
     texts = docs.sparkSession.sparkContext.broadcast(tuple(sample(learn_from)))
-    at = docs.columns.index("text")
+    at = docs.columns.index(within or "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(texts.value)
         for b in batches:
-            names, scores = m.predict(b.column(at).to_pylist())
+            text = b.column(at).field("text") if within else b.column(at)
+            names, scores = m.predict(text.to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, name, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without those whose language can't be told; all columns stay. Learns from the labelled rows of docs."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return with_language(rows, docs).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return with_language(docs.select(F.struct("*").alias("row")), docs, within="row").where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm.common import arrow_map, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -265,7 +265,7 @@ def spans(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

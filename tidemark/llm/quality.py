@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import small, table, written
+from tidemark.llm.common import arrow_map, small, table, written
 
 ORDER, SYMBOLS, QUANTILE, STEP = 4, 64, 0.995, 1e-3
 
@@ -79,7 +79,7 @@ def counts(texts: DataFrame) -> DataFrame:
             g, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return arrow_map(texts.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perple
                 out.append(float(np.exp(-p[g].mean(dtype=np.float64))) if len(g) else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

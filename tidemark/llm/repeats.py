@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup
-from tidemark.llm.common import table, written
+from tidemark.llm.common import arrow_map, table, written
 
 LENGTH, WINDOW, HOT = 400, 192, 50_000
 
@@ -125,7 +125,7 @@ def _ranked(texts: DataFrame, length: int, window: int) -> DataFrame:
                     ["key", "a", "x1", "x2", "r1", "r2"],
                 )
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, a int, x1 short, x2 short, r1 long, r2 long")
+    return arrow_map(texts.select("key", "text"), run, "key binary, a int, x1 short, x2 short, r1 long, r2 long")
 
 
 def _contexts(rows: DataFrame, length: int, window: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _contexts(rows: DataFrame, length: int, window: int) -> DataFrame:
                     ["key", "a", "x1", "x2", "r1", "r2", "n", "before", "after"],
                 )
 
-    return rows.select("key", "text", "found").mapInArrow(run, "key binary, a int, x1 short, x2 short, r1 long, r2 long, n long, before binary, after binary")
+    return arrow_map(rows.select("key", "text", "found"), run, "key binary, a int, x1 short, x2 short, r1 long, r2 long, n long, before binary, after binary")
 
 
 def _bytes(column: pa.Array, width: int, at_end: bool) -> np.ndarray:
@@ -295,7 +295,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
                     [b.column(0).slice(at, 1000), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
                 )
 
-    return rows.select("doc_id", "text", "copied", "spans").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return arrow_map(rows.select("doc_id", "text", "copied", "spans"), run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import arrow_map, table, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 
@@ -54,15 +54,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "__fp", shingle: int = SHINGLE) -> DataFrame:
-    """docs with the fingerprint in a new column."""
-    at = docs.columns.index(text)
+    """docs with the fingerprint in a new column; `text` is a column, or `struct.field`."""
+    outer, _, field = text.partition(".")
+    at = docs.columns.index(outer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = pa.array([fingerprint(x.as_py(), shingle) for x in b.column(at)], pa.int64())
+            texts = b.column(at).field(field) if field else b.column(at)
+            new = pa.array([fingerprint(x.as_py(), shingle) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -162,8 +164,8 @@ def distinct_documents(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     prints = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "__fp"), "prints")
     chosen = classes(prints, distance).join(prints, "__fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__of")).distinct()
-    rows = with_fingerprint(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.col("text")))
-    rows = rows.drop("text").join(chosen, rows["__id"].eqNullSafe(chosen["__id"]) & (F.col("__fp") == F.col("__of")), "left_semi")
+    rows = with_fingerprint(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id")), "row.text")
+    rows = rows.join(chosen, rows["__id"].eqNullSafe(chosen["__id"]) & (F.col("__fp") == F.col("__of")), "left_semi")
     one = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__fp"))
     return rows.withColumn("__n", one).where("__n = 1").select("row.*")
 

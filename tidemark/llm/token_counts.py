@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import Codec, codec, default_vocabulary
-from tidemark.llm.common import table
+from tidemark.llm.common import arrow_map, table
 
 RULES = ("largest", "first", "shares")
 
@@ -96,7 +96,7 @@ def by_section(docs: DataFrame, vocabulary: str, rule: str = "largest", separato
                     ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, f"doc_id long, section long, start long, end long, n_tokens {kind}, n_crossing long")
+    return arrow_map(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, f"doc_id long, section long, start long, end long, n_tokens {kind}, n_crossing long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
