@@ -19,7 +19,9 @@ def sequenced(rows: DataFrame, order: list[str], limit: int | None = None, one_t
     if limit is not None:
         rows = rows.orderBy(*by).limit(limit)
     if (limit is not None and limit <= one_task) or small(rows, one_task):
-        return rows.select(F.row_number().over(Window.orderBy(*by)).cast("long").alias("seq"), "*")
+        numbered = rows.select(F.row_number().over(Window.orderBy(*by)).cast("long").alias("seq"), "*")
+        # dealt out by number: what follows works on all cores, and windows by seq need no further shuffle
+        return numbered.repartition(max(1, rows.sparkSession.sparkContext.defaultParallelism), "seq")
     # the ranges come from a sample, so they are written before they are counted
     ranged = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("__at", _ROW_BITS)
