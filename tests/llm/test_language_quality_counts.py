@@ -47,7 +47,9 @@ def test_language_edge_cases(spark):
     rows = [(i, t, lang, 1) for i, (t, lang) in enumerate([("the cat " * 50, "en"), ("le chat " * 50, "fr")] * 10)]
     rows += [(90, None, "en", 1), (91, "", None, 1), (92, "12 !?", "fr", 1), (None, "the cat", None, 1), (93, "the cat " * 9000, None, 1), (93, "the cat " * 9000, None, 1), (94, "x", " ", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
-    out = language.with_language(docs.drop("score"), docs).collect()
+    frame = language.with_language(docs, docs)
+    assert frame.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    out = frame.collect()
     pred = defaultdict(set)
     for r in out:
         pred[r.doc_id].add(r.lang_pred)
@@ -55,7 +57,19 @@ def test_language_edge_cases(spark):
     kept = language.accepted(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert language.accepted(docs.limit(0)).count() == 0
-    assert {r.lang_pred for r in language.with_language(docs.drop("score"), docs.where("false")).collect()} == {"und"}
+    assert {r.lang_pred for r in language.with_language(docs.withColumnRenamed("score", "LANG_PRED"), docs.where("false")).collect()} == {"und"}
+
+
+def test_language_sample_is_bounded_and_loses_nothing_that_is_used(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN", 100)
+    rows = [(i, f"{'ab ' * 10}{i}", lang) for i in range(60) for lang in ("x", "y")] + [(99, "rare word", "z"), (100, "\U00030000" * 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    full = {}
+    for lang, text in language.sample(docs.repartition(3)):
+        full.setdefault(lang, []).append(text)
+    assert set(full) == {"x", "y", "z"} and len(full["x"]) == len(full["y"]) == 5 and full["z"] == ["rare word"]
+    assert all(sum(map(str.isalpha, "".join(t[:-1]))) < 100 for t in full.values())
+    assert {r.doc_id: r.lang_pred for r in language.with_language(docs, docs).collect()}[100] != "und"
 
 
 def brute_kneser_ney(texts):
@@ -102,6 +116,8 @@ def test_quality_keeps_trusted_and_drops_noise(spark):
     odd = [(2000, None, "en", 1), (2001, " \n", None, 1), (2002, "the cat sat", None, 1), (2002, "the cat sat", None, 1), (None, "the cat", "zz", 1), (2003, "the cat sat mat " * 20_000, "en", 1)]
     docs = spark.createDataFrame(good + noise + odd, "doc_id long, text string, lang string, threshold int")
     trusted = spark.createDataFrame([(i,) for i in range(0, 200, 2)] * 2 + [(None,)], "doc_id long")
+    named = quality.with_perplexity(docs.withColumnRenamed("threshold", "Perplexity"), quality.counts(docs.limit(50)))
+    assert named.columns == ["doc_id", "text", "lang", "perplexity"] and named.count() == docs.count()
     got = quality.judged(docs, trusted).collect()
     assert len(got) == docs.count()
     kept = Counter(x.doc_id for x in got if x.kept)

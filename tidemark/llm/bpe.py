@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, table
+from tidemark.llm.common import arrow_map, others, table
 
 PIECE, LEAF, WINDOW, THREADS = 1 << 16, 1 << 11, 16, 2
 
@@ -176,8 +176,7 @@ def codec(path: str) -> Codec:
 
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the token ids of each whole text in a new column. A name that is taken gets the new meaning."""
-    keep = [f for f in docs.schema.fields if f.name != ids]
-    places = [i for i, f in enumerate(docs.schema.fields) if f.name != ids]
+    keep, places = others(docs, ids)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +190,7 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "id
 
 def decoded(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of each list of ids in a new column; a null list gives an empty text."""
-    keep = [f for f in rows.schema.fields if f.name != text]
-    places = [i for i, f in enumerate(rows.schema.fields) if f.name != text]
+    keep, places = others(rows, text)
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *taken: str) -> tuple[list[T.StructField], list[int]]:
+    """The columns of df but those whose names are taken (in any case, as Spark compares names), and their places."""
+    low = {t.lower() for t in taken}
+    places = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in low]
+    return [df.schema.fields[i] for i in places], places
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -3,12 +3,12 @@
 For every language a suffix automaton of labelled text is built. A text is parsed greedily into the longest phrases that occur in that text; the fewer
 phrases per letter, the closer the language. The language that needs fewest wins; of equals, the first by code point.
 
-The automata are fitted on a bounded sample: per language the ROWS documents of smallest hash (those of up to LONG characters first), TRAIN symbols of
-them at most, and STATES symbols over all languages. The prediction itself reads every whole text: its letters, in lower case, other characters as one
+The automata are fitted on a bounded sample: per language the ROWS documents of smallest hash (those of up to LONG characters first), no more of them
+than have TRAIN letters, TRAIN symbols of them at most, and STATES symbols over all languages. The prediction itself reads every whole text: its letters, in lower case, other characters as one
 space, in blocks of BLOCK symbols side by side; a phrase ends with its block, for each language alike.
 
 Defined cases: a null text, or one without letters, is `und` with score 0, and so is any text if nothing is labelled; null or blank languages teach
-nothing; repeated rows are predicted each on their own. The score is 1 - fewest / second fewest phrases, and 1 if there is one language only.
+nothing; repeated rows are predicted each on their own; a column that has the name of a new one gives way to it. The score is 1 - fewest / second fewest phrases, and 1 if there is one language only.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, table
+from tidemark.llm.common import arrow_map, others, table
 
 ROWS, LONG, TRAIN, STATES, BLOCK, FOLDS = 200, 20_000, 48_000, 480_000, 1024, 5
 UNKNOWN = "und"
@@ -36,11 +36,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """The labelled texts to learn from, `rows` per language at most, by language."""
+    """The labelled texts to learn from, by language: `rows` of each at most, and none once those before it have TRAIN letters. What a language sends to
+    the driver is so at most 3 * TRAIN characters and what stands between TRAIN letters, and no cut of it would have been used."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.length("text") > LONG, F.xxhash64("doc_id"), "doc_id")
     first = usable.select("lang", "doc_id", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= rows)
-    return [(r.lang, r.text) for r in first.select("lang", "n", F.substring("text", 1, 2 * TRAIN).alias("text")).orderBy("lang", "n").collect()]
+    first = first.select("lang", "n", F.substring("text", 1, 2 * TRAIN).alias("text"))
+    before = F.sum(F.regexp_count("text", F.lit(r"\p{L}"))).over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    enough = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN)
+    return [(r.lang, r.text) for r in enough.select("lang", "n", "text").orderBy("lang", "n").collect()]
 
 
 def _letters(texts: list[str]) -> str:
@@ -53,7 +57,7 @@ def _symbols(letters: str) -> np.ndarray:
     """By code point: 0 for what is no letter, 1 for other letters, then the common ones."""
     place = {c: i + 2 for i, c in enumerate(letters)}
     out = np.zeros(0x110000, np.uint8)
-    for k in range(0x30000):
+    for k in range(0x32400):  # no letters beyond
         c = chr(k)
         if c.isalpha():
             out[k] = place.get(c.lower()[0], 1)
@@ -176,16 +180,17 @@ def model(texts: tuple[tuple[str, str], ...]) -> Model:
 def with_language(docs: DataFrame, learn_from: DataFrame, name: str = "lang_pred", score: str = "score", within: str | None = None) -> DataFrame:
     """docs with the predicted language and its score in two new columns; needs a column text, or a struct `within` that has it."""
     texts = docs.sparkSession.sparkContext.broadcast(tuple(sample(learn_from)))
-    at = docs.columns.index(within or "text")
+    at, (keep, places) = docs.columns.index(within or "text"), others(docs, name, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(texts.value)
         for b in batches:
             text = b.column(at).field("text") if within else b.column(at)
             names, scores = m.predict(text.to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, name, score])
+            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), *new], [*(f.name for f in keep), name, score])
 
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*keep, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, small, table, written
+from tidemark.llm.common import arrow_map, others, small, table, written
 
 ORDER, SYMBOLS, QUANTILE, STEP = 4, 64, 0.995, 1e-3
 
@@ -121,12 +121,12 @@ def _dense(gram: bytes, n: bytes) -> np.ndarray:
 
 
 def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perplexity") -> DataFrame:
-    """docs with the perplexity per symbol of each whole text in a new column, null without n-grams; needs a column text."""
+    """docs with the perplexity per symbol of each whole text in a new column, null without n-grams; needs a column text. A name that is taken gets the new meaning."""
     found = gram_counts.orderBy("gram").toArrow()
     if found.num_rows > SYMBOLS**ORDER:
         raise ValueError("more n-grams than the alphabet has")
     tables = docs.sparkSession.sparkContext.broadcast(tuple(found.column(c).to_numpy().astype(t).tobytes() for c, t in (("gram", np.int32), ("n", np.int64))))
-    at = docs.columns.index("text")
+    at, (keep, places) = docs.columns.index("text"), others(docs, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _dense(*tables.value)
@@ -135,9 +135,9 @@ def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perple
             for x in b.column(at):
                 g = grams(x.as_py())
                 out.append(float(np.exp(-p[g].mean(dtype=np.float64))) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array(out, pa.float64())], [*(f.name for f in keep), name])
 
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
