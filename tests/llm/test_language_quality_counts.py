@@ -151,3 +151,56 @@ def test_section_counts_against_offsets(spark, rule):
         assert [got[i][k][1] for k in sorted(got[i])] == ends
         assert [got[i][k][2] for k in sorted(got[i])] == pytest.approx(want)
     assert token_counts.by_section(docs.limit(0), bpe.default_vocabulary(), rule).count() == 0
+
+
+def brute_words(texts, scorer):
+    """Textbook formulas over tuples of words: the perplexity of a text per symbol."""
+    top = Counter()
+    for t in texts:
+        x = ["", "", *quality.words(t)]
+        for i in range(len(x) - 2):
+            top[tuple(x[i : i + 3])] += 1
+    levels = [top]
+    for _ in range(2):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+
+    def p(gram):
+        c = levels[len(gram) - 1]
+        d = quality._discounts(np.array(list(c.values())))
+        lower = p(gram[1:]) if len(gram) > 1 else math.exp(scorer._spelled(gram[0]))
+        ctx = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+        if not ctx:
+            return lower
+        n = c.get(gram, 0)
+        return (n - d[min(n, 3)]) / sum(ctx) + sum(d[min(k, 3)] for k in ctx) / sum(ctx) * lower
+
+    def perplexity(t):
+        x = ["", "", *quality.words(t)]
+        return math.exp(-sum(math.log(p(tuple(x[i : i + 3]))) for i in range(len(x) - 2)) / sum(len(w) + 1 for w in x[2:]))
+
+    return perplexity
+
+
+def test_word_model_against_textbook_formulas(spark):
+    texts = ["the cat sat on the mat", "a cat, a mat. the cat sat", "été 12 x the cat", "кот сидел на ковре и кот спал"]
+    others = ["the cat sat", "the dog sat on a mat", "zzz", "ковре на сидел", "кот сидел на", "ток леди ан"]
+    docs = spark.createDataFrame([(t,) for t in texts + others], "text string")
+    got = {r.text: r.perplexity for r in quality.with_perplexity(docs, quality.counts(docs.limit(4))).collect()}
+    g, n = np.unique(np.concatenate([quality.grams(t) for t in texts]), return_counts=True)
+    want = brute_words(texts, quality.Scorer(quality.log_probabilities(g.astype(np.int32), n), [], 0, 0.0))
+    assert got == pytest.approx({t: want(t) for t in texts + others}, rel=1e-3)
+    # equal word lengths, one alphabet symbol each: only words tell them apart
+    assert got["кот сидел на"] < 0.5 * got["ток леди ан"]
+
+
+def test_counts_of_trusted_text_grow_with_it_and_leave_the_text_itself_out(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(100)), "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = [quality.counts(docs.where(f"doc_id < {k}")).where("level = 3").count() for k in (20, 200)]
+    assert n[1] > 9 * n[0]
+    trusted = docs.where("doc_id < 100")
+    score = {x.doc_id: x.perplexity for x in quality.judged(docs, trusted).collect()}
+    seen, unseen = (sum(math.log(score[i]) for i in ids) / 100 for ids in (range(100), range(100, 200)))
+    assert seen == pytest.approx(unseen, rel=0.02)

@@ -1,9 +1,13 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words in trusted text.
 
-The n-grams are runs of ORDER characters over a fixed alphabet of 64 symbols (letters in lower case, one for digits, two for other signs, one for white
-space), so that however much text is trusted there are at most 64**4 = 16.8 million of them: the count table, its shards and what is broadcast have a
-proven bound. Counting covers all trusted documents: every task counts its share, and the counts are summed sharded by n-gram. The shards are then joined
-with their contexts into one table of log-probabilities by n-gram, and each document's n-grams are looked up in it where the document is read.
+The n-grams are runs of ORDER words in lower case (numbers, single signs, and single characters of scripts without spaces are words too), counted over all
+trusted documents; neither words nor n-grams are capped, so the counts grow with the text. They stay in tables by the 64-bit key of an n-gram. Below the
+highest order, counts are of different words to the left. What the words' own counts leave over is dealt out by spelling, under a Kneser-Ney model of
+four characters over 64 symbols: at most 64**4 = 16.8 million numbers, the only ones that are collected and broadcast.
+
+Documents are numbered and cut into chunks of CHUNK rows. Each chunk asks for its distinct keys, packed by shard; every shard of the counts answers with the
+keys it has; the answers go back to the chunk, where each document is scored. A trusted document is scored without its own counts, at all orders
+(leave-one-out), as if it hadn't been trained on; only the discounts and the number of all bigrams stay.
 
 A document is kept if its perplexity is at most the QUANTILE of trusted documents of its language; quantiles come from counts of log-perplexity in steps
 of STEP, summed over all trusted documents. A language without trusted documents takes the quantile over all.
@@ -14,12 +18,14 @@ trusted documents every document with n-grams is kept; repeated rows are judged
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +33,13 @@ from tidemark.llm.common import arrow_map, others, small, table, written
 
 ORDER, SYMBOLS, QUANTILE, STEP = 4, 64, 0.995, 1e-3
 
+#: Words of an n-gram; rows of a chunk; keys of a shard at most, about.
+WORDS, CHUNK, SHARD = 3, 256, 400_000
+
 _BITS = 6
+#: Scripts without spaces between words.
+_SINGLE = r"\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_TOKEN = re.compile(rf"[{_SINGLE}]|[^\W\d_{_SINGLE}]+|\d+|[^\w\s]|_")
 
 
 def _alphabet() -> np.ndarray:
@@ -70,21 +82,65 @@ def grams(text: str | None) -> np.ndarray:
     return out
 
 
+def words(text: str | None) -> list[str]:
+    return _TOKEN.findall(text.lower()) if text else []
+
+
+class _Hashes(dict):
+    """64-bit digests of words, kept while there are not too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 19:
+            self.clear()
+        out = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return out
+
+
+_HASHES = _Hashes()
+
+
+def runs(found: list[str]) -> list[np.ndarray]:
+    """The n-grams that end at each word, as WORDS arrays of digests; the text is led by empty words."""
+    x = np.fromiter(map(_HASHES.__getitem__, ["", ""] + found), np.uint64, len(found) + WORDS - 1)
+    return [x[k : k + len(found)] for k in range(WORDS)]
+
+
+def keys(*parts: np.ndarray) -> np.ndarray:
+    """One number for each n-gram of one word or more."""
+    out = np.full(len(parts[0]), len(parts), np.uint64)
+    for x in parts:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
 def counts(texts: DataFrame) -> DataFrame:
-    """How often each n-gram occurs in all texts: gram, n."""
+    """How often each n-gram occurs in all texts: level (0 for those of characters, else of words), a, b, c, n. Those of characters are in c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [grams(x.as_py()) for x in b.column(0)]
-            g, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(n.astype(np.int64))], ["gram", "n"])
+            texts = b.column(0).to_pylist()
+            parts = [np.zeros(0, np.int32), *(grams(x) for x in texts)]
+            g, n = np.unique(np.concatenate(parts), return_counts=True)
+            each = [runs(words(x)) for x in texts]
+            abc = np.stack([np.concatenate([np.zeros(0, np.uint64), *(e[k] for e in each)]) for k in range(WORDS)])
+            _, first, m = np.unique(keys(*abc), return_index=True, return_counts=True)
+            abc, none = abc[:, first].view(np.int64), np.zeros(len(g), np.int64)
+            level = np.repeat(np.array([0, WORDS], np.int8), [len(g), len(m)])
+            cols = [np.concatenate(x) for x in ((none, abc[0]), (none, abc[1]), (g.astype(np.int64), abc[2]), (n, m))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level, *cols)], ["level", "a", "b", "c", "n"])
 
-    return arrow_map(texts.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return arrow_map(texts.select("text"), run, "level byte, a long, b long, c long, n long").groupBy("level", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2, 3 and more, from the counts of counts; where these are lacking, from the nearest that isn't."""
-    n1, n2, n3, n4 = ((n == k).sum() for k in (1, 2, 3, 4))
+    return _discounts_of(*((n == k).sum() for k in (1, 2, 3, 4)))
+
+
+def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y]
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d[1:], 1))])
@@ -120,24 +176,182 @@ def _dense(gram: bytes, n: bytes) -> np.ndarray:
     return log_probabilities(np.frombuffer(gram, np.int32), np.frombuffer(n, np.int64))
 
 
-def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perplexity") -> DataFrame:
-    """docs with the perplexity per symbol of each whole text in a new column, null without n-grams; needs a column text. A name that is taken gets the new meaning."""
-    found = gram_counts.orderBy("gram").toArrow()
-    if found.num_rows > SYMBOLS**ORDER:
-        raise ValueError("more n-grams than the alphabet has")
-    tables = docs.sparkSession.sparkContext.broadcast(tuple(found.column(c).to_numpy().astype(t).tobytes() for c, t in (("gram", np.int32), ("n", np.int64))))
-    at, (keep, places) = docs.columns.index("text"), others(docs, name)
+class Scorer:
+    """Logarithms of documents' probabilities, from the counts of their n-grams."""
+
+    def __init__(self, spelling: np.ndarray, discounts: list[np.ndarray], total: int, freed: float):
+        self.spelling, self.discounts, self.total, self.freed = spelling, discounts, total, freed
+        sizes = np.bincount(alphabet(), minlength=SYMBOLS)
+        self.within = np.where(np.arange(SYMBOLS) > 58, np.log(np.maximum(sizes, 1)), 0)
+        self.spelled: dict[str, float] = {}
+
+    def _spelled(self, word: str) -> float:
+        if word not in self.spelled:
+            if len(self.spelled) > 1 << 19:
+                self.spelled.clear()
+            g = grams(word)
+            self.spelled[word] = float(self.spelling[g].sum(dtype=np.float64) - self.within[g & (SYMBOLS - 1)].sum())
+        return self.spelled[word]
+
+    def perplexity(self, text: str | None, known: np.ndarray, values: np.ndarray, own: bool) -> float | None:
+        """Per symbol. known: keys in rising order; values: their count, and the total and the freed weight after them. own: whether the text was counted."""
+        found = words(text)
+        if not found:
+            return None
+        a, b, c = runs(found)
+
+        def look(key: np.ndarray) -> np.ndarray:
+            if not len(known):
+                return np.zeros((len(key), 3))
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            return np.where((known[at] == key)[:, None], values[at], 0.0)
+
+        p = np.exp(np.array([self._spelled(w) for w in found]))
+        levels = [((c,), ()), ((b, c), (b,)), ((a, b, c), (a, b))]
+        n, total, freed = [], [], []
+        for gram, context in levels:
+            n.append(look(keys(*gram))[:, 0])
+            after = look(keys(*context))[:, 1:] if context else np.tile([float(self.total), self.freed], (len(found), 1))
+            total.append(after[:, 0])
+            freed.append(after[:, 1])
+        if own:
+            self._without(levels, n, total, freed)
+        for k, d in enumerate(self.discounts):
+            weight = np.divide(freed[k], total[k], out=np.ones(len(found)), where=total[k] > 0.5)
+            rest = np.maximum(n[k] - d[np.minimum(n[k], 3).astype(int)], 0)
+            p = np.divide(rest, total[k], out=np.zeros(len(found)), where=total[k] > 0.5) + weight * p
+        log_p = np.log(np.maximum(p, 1e-300)).sum()
+        return float(np.exp(-log_p / sum(len(w) + 1 for w in found)))
+
+    def _without(self, levels: list, n: list, total: list, freed: list) -> None:
+        """Takes the text's own share out of the counts: at the highest order how often it has the n-gram, below how many n-grams it alone has there."""
+        own, place = None, None
+        for k in range(WORDS - 1, -1, -1):
+            gram, context = levels[k]
+            _, first, back, times = np.unique(keys(*gram), return_index=True, return_inverse=True, return_counts=True)
+            had = n[k][first]
+            mine = times.astype(float) if own is None else np.bincount(back[place], own, len(first))
+            left = np.maximum(had - mine, 0)
+            if context:
+                d = self.discounts[k]
+                lost = d[np.minimum(had, 3).astype(int)] - d[np.minimum(left, 3).astype(int)]
+                _, group = np.unique(keys(*context), return_inverse=True)
+                at = group[first]
+                total[k] -= np.bincount(at, np.minimum(mine, had), group.max() + 1)[group]
+                freed[k] -= np.bincount(at, lost, group.max() + 1)[group]
+            n[k] = left[back]
+            own, place = ((left == 0) & (had > 0)).astype(float), first
+
+
+def _keyed(rows: DataFrame, gram: list[str], values: dict[str, Column | str]) -> DataFrame:
+    """key, n, total, freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = keys(*(b.column(i).to_numpy().view(np.uint64) for i in range(len(gram))))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns[len(gram) :]], ["key", "n", "total", "freed"])
+
+    cols = [F.coalesce(F.col(values[k]), F.lit(0)).cast(t).alias(k) if k in values else F.lit(0).cast(t).alias(k) for k, t in (("n", "long"), ("total", "long"), ("freed", "double"))]
+    return rows.select(*gram, *cols).mapInArrow(run, "key long, n long, total long, freed double")
+
+
+def _model(gram_counts: DataFrame) -> tuple[DataFrame, list[np.ndarray], int, float]:
+    """All counts by key, the discounts of each order, and the total and freed weight of the lowest."""
+    three = gram_counts.where(F.col("level") == WORDS)
+    two = written(three.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+    one = written(two.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
+    discounts = []
+    for t in (one, two, three):
+        of = {r.n: r.m for r in t.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
+        discounts.append(_discounts_of(*(of.get(k, 0) for k in (1, 2, 3, 4))))
+
+    def after(rows: DataFrame, context: list[str], d: np.ndarray) -> DataFrame:
+        free = F.when(F.col("n") == 1, float(d[1])).when(F.col("n") == 2, float(d[2])).otherwise(float(d[3]))
+        return rows.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(free).alias("freed"))
+
+    every = after(one, [], discounts[0]).first()
+    sums = {"total": "total", "freed": "freed"}
+    parts = [_keyed(three, ["a", "b", "c"], {"n": "n"}), _keyed(two, ["b", "c"], {"n": "n"}), _keyed(one, ["c"], {"n": "n"})]
+    parts += [_keyed(after(three, ["a", "b"], discounts[2]), ["a", "b"], sums), _keyed(after(two, ["b"], discounts[1]), ["b"], sums)]
+    model = parts[0]
+    for p in parts[1:]:
+        model = model.unionByName(p)
+    return written(model, "model"), discounts, every.total or 0, every.freed or 0.0
+
+
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys once each, in rising order, with the sums of their values."""
+    one, back = np.unique(key, return_inverse=True)
+    return one, np.stack([np.bincount(back, values[:, k], len(one)) for k in range(values.shape[1])], 1)
+
+
+def _requests(docs: DataFrame, shards: int) -> DataFrame:
+    """The distinct keys that each chunk needs: chunk, shard, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _dense(*tables.value)
         for b in batches:
-            out = []
-            for x in b.column(at):
-                g = grams(x.as_py())
-                out.append(float(np.exp(-p[g].mean(dtype=np.float64))) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array(out, pa.float64())], [*(f.name for f in keep), name])
+            chunks, texts = b.column(0).to_numpy(), b.column(1)
+            for chunk in np.unique(chunks):
+                wanted = [np.zeros(0, np.int64)]
+                for i in np.flatnonzero(chunks == chunk):
+                    if found := words(texts[int(i)].as_py()):
+                        a, b2, c = runs(found)
+                        wanted += [keys(a, b2, c), keys(b2, c), keys(c), keys(a[:1], b2[:1]), keys(b2[:1])]
+                key = np.unique(np.concatenate(wanted))
+                key = key[np.argsort(shard := key % shards, kind="stable")]
+                ends = np.cumsum(np.bincount(shard, minlength=shards))
+                packs = [(s, key[start:end].tobytes()) for s, (start, end) in enumerate(zip([0, *ends], ends)) if end > start]
+                if packs:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(packs), pa.int64()), pa.array([s for s, _ in packs], pa.int64()), pa.array([k for _, k in packs], pa.binary())], ["chunk", "shard", "keys"])
+
+    return arrow_map(docs.select("__chunk", "text"), run, "chunk long, shard long, keys binary")
+
+
+def _answered(model: pa.Table, asked: pa.Table) -> pa.Table:
+    known, values = _summed(model.column("key").to_numpy(), np.stack([model.column(c).to_numpy().astype(float) for c in ("n", "total", "freed")], 1))
+    rows = []
+    for chunk, pack in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+        key = np.frombuffer(pack, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = known[at] == key
+            if hit.any():
+                rows.append((chunk, key[hit].tobytes(), values[at[hit]].tobytes()))
+    chunk, key, value = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "keys": pa.array(key, pa.binary()), "found": pa.array(value, pa.binary())})
+
 
-    return arrow_map(docs, run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
+@lru_cache(maxsize=1)
+def _scorer(gram: bytes, n: bytes, discounts: bytes, total: int, freed: float) -> Scorer:
+    """One per Python worker."""
+    return Scorer(_dense(gram, n), list(np.frombuffer(discounts).reshape(WORDS, -1)), total, freed)
+
+
+def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perplexity", own: Column | None = None) -> DataFrame:
+    """docs with the perplexity per symbol of each whole text in a new column, null without n-grams; needs a column text. A name that is taken gets the new
+    meaning. own: whether a document was counted itself."""
+    found = gram_counts.where("level = 0").select(F.col("c").cast("int").alias("gram"), "n").orderBy("gram").toArrow()
+    if found.num_rows > SYMBOLS**ORDER:
+        raise ValueError("more n-grams than the alphabet has")
+    model, discounts, total, freed = _model(gram_counts)
+    packed = tuple(found.column(c).to_numpy().astype(t).tobytes() for c, t in (("gram", np.int32), ("n", np.int64)))
+    tables = docs.sparkSession.sparkContext.broadcast((*packed, np.array(discounts).tobytes(), total, freed))
+    chunk = F.floor(F.monotonically_increasing_id() / CHUNK)
+    docs = written(docs.withColumns({"__own": F.coalesce(own, F.lit(False)) if own is not None else F.lit(False), "__chunk": chunk}), "chunked")
+    shards = max(8, -(-model.count() // SHARD))
+    asked = _requests(docs, shards)
+    answers = model.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).cogroup(asked.groupBy("shard")).applyInArrow(_answered, "chunk long, keys binary, found binary")
+    keep, places = others(docs, name, "__own", "__chunk")
+    schema = T.StructType([*keep, T.StructField(name, T.DoubleType())])
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        scorer = _scorer(*tables.value)
+        key, value = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("found", np.float64)))
+        key, value = _summed(key, value.reshape(-1, 3))
+        out = [scorer.perplexity(x, key, value, o) for x, o in zip(docs.column("text").to_pylist(), docs.column("__own").to_pylist(), strict=True)]
+        return pa.Table.from_arrays([*(docs.column(i) for i in places), pa.array(out, pa.float64())], [*(f.name for f in keep), name])
+
+    return docs.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -154,7 +368,8 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> D
     """docs: doc_id, text, lang. trusted: doc_id. Returns doc_id, lang, perplexity, threshold, kept."""
     ids = small(written(trusted.select("doc_id").distinct(), "trusted"))
     found = written(counts(docs.join(ids, "doc_id", "left_semi")), "grams")
-    scored = written(with_perplexity(docs.select("doc_id", "lang", "text"), found).drop("text"), "perplexity")
+    marked = docs.select("doc_id", "lang", "text").join(ids.withColumn("__trusted", F.lit(True)), "doc_id", "left")
+    scored = written(with_perplexity(marked, found, own=F.col("__trusted")).drop("text", "__trusted"), "perplexity")
     limits = written(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
     own = small(limits.where("known").select(F.col("lang").alias("__lang"), "threshold"))
     every = limits.where("NOT known").select("threshold").first()
