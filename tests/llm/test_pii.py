@@ -65,3 +65,18 @@ def test_frame(spark):
     got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_phone, r.spans) for r in pii.spans(docs).collect()), key=str)
     assert got == sorted([(1, 1, 1, 0, "email:0:5,ip:6:13")] * 2 + [(2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (None, 0, 0, 1, "phone:0:15")], key=str)
     assert pii.spans(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "192[.]168[.]1[.]10", "10(dot)0(dot)0(dot)1", "192 dot 168 dot 1 dot 10", "1O.O.O.1", "192.168[.]1.10", "192 [dot] 168 [dot] l [dot] 10", "one nine two dot 168 dot 1 dot seven", "1o.2oo.3.4",
+    "192<dot>168<dot>1<dot>10", "8 punkt 8 punkt 8 punkt 8",
+])
+def test_disguised_addresses_of_hosts(text):
+    whole = f"see {text}, or not"
+    base, every = pii.find(whole)
+    assert base[1] == [] and [whole[a:b] for a, b in every[1]] == [text]
+
+
+@pytest.mark.parametrize("text", ["256[.]1[.]1[.]1", "1 dot 2 dot 3", "I.O.l.o", "1234[.]1[.]1[.]1", "192[.]168[.]1[.]1000", "a 5 dot b 6 dot c"])
+def test_what_is_no_address_of_a_host(text):
+    assert pii.find(f"see {text}, or not")[1][1] == []

@@ -3,11 +3,12 @@
 Base spans follow the contract's patterns, leftmost and non-overlapping per kind; the scanners here give what a backtracking engine gives, in linear time.
 For disguises, transducers rewrite the text and keep for every character where it came from: look-alike letters and foreign digits become ASCII and
 invisible characters go; "at" and "dot" in words or brackets become signs where they join the parts of an address; spelled digits, and O or l among
-digits, become digits. The same scanners then run over the rewritten text, and spans that hold a rewritten character and touch no base span are mapped
+digits, become digits; disguised dots between four short numbers, however written, become dots. The same scanners then run over the rewritten text, and spans that hold a rewritten character and touch no base span are mapped
 back to the source and added.
 
 What counts as a disguise is kept narrow, so that prose stays clean: the bare word "at" needs before it a name with a digit or sign, or
-after it a bracketed dot, or the bare word "dot" and a common ending; a run of digit words needs seven digits; the result must pass the kind's own test.
+after it a bracketed dot, or the bare word "dot" and a common ending; a run of digit words needs seven digits; four numbers with dots need two digits that
+are no letters, or a disguised dot and one; the result must pass the kind's own test.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned each on their own; other columns are ignored.
 """
@@ -129,6 +130,13 @@ _SPELLED_PART = re.compile(rf"(?P<p>{_POINT}|\.)|(?P<w>{_WORD})|(?P<d>[0-9])|(?P
 _POINT_WORDS = frozenset("dot punkt point punto".split())
 _LETTERED = re.compile(r"(?<![0-9A-Za-z])\+?[0-9OolI](?:[ .-]?[0-9OolI]){7,}(?![0-9A-Za-z])")
 _LETTER_DIGITS = str.maketrans("OolI", "0011")
+_QUAD_WORDS = "(?i:dot|punkt|point|punto)"
+_QUAD_BRACKETED = rf"[\[({{<]\s?(?:{_QUAD_WORDS}|\.)\s?[\])}}>]"
+_QUAD_DOT = rf"(?:\s?{_QUAD_BRACKETED}\s?|\s{_QUAD_WORDS}\s|\.)"
+_QUAD_NUMBER = rf"(?:[0-9OolI]{{1,3}}|(?i:{_WORD}(?:[ ,-]{{1,3}}{_WORD}){{0,2}}))"
+_QUAD = re.compile(rf"(?<![0-9A-Za-z]){_QUAD_NUMBER}(?:{_QUAD_DOT}{_QUAD_NUMBER}){{3}}(?!\w)")
+_QUAD_PART = re.compile(rf"(?P<dot>{_QUAD_DOT})|(?P<w>(?i:{_WORD}))|(?P<d>[0-9OolI])|(?P<s>[ ,-])")
+_QUAD_SOON = re.compile(rf"{_QUAD_BRACKETED}|\s{_QUAD_WORDS}\s{_QUAD_NUMBER}(?!\w)|\.{_QUAD_NUMBER}\.[0-9OolIa-zA-Z]")
 
 _AT = r"(?:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s|@)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\.)"
@@ -183,6 +191,18 @@ def _lettered(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _quads(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for run in _QUAD.finditer(text):
+        parts = list(_QUAD_PART.finditer(text, *run.span()))
+        found = [(m.span(), m[0], {"dot": ".", "w": _VALUE.get(m[0].lower(), ""), "d": m[0].translate(_LETTER_DIGITS), "s": ""}[m.lastgroup]) for m in parts]
+        sure = sum(m.lastgroup == "w" or m[0].isdigit() for m in parts)
+        hidden = any(m.lastgroup == "dot" and m[0] != "." for m in parts)
+        if sure >= (1 if hidden else 2) and all(int(p or 256) <= 255 for p in "".join(to for _, _, to in found).split(".")):
+            edits += [(*at, to) for at, was, to in found if to != was]
+    return edits
+
+
 def _addresses(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _ADDRESS.finditer(text):
@@ -220,7 +240,7 @@ def disguised_spans(text: str, base: list[list[Span]]) -> list[list[Span]]:
     if not text.isascii() and not _GLYPH_SET.isdisjoint(text):
         m = Mapped(text)
         m.rewrite([(*g.span(), _GLYPHS[g[0]]) for g in _GLYPH.finditer(text)])
-    for soon, find_edits in ((_ADDRESS_SOON.search, _addresses), (_spelled_soon, _spelled), (_SOME_DIGITS.search, _lettered)):
+    for soon, find_edits in ((_ADDRESS_SOON.search, _addresses), (_spelled_soon, _spelled), (_SOME_DIGITS.search, _lettered), (_QUAD_SOON.search, _quads)):
         now = m.text if m else text
         if soon(now) and (edits := find_edits(now)):
             m = m or Mapped(text)
