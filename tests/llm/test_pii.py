@@ -80,3 +80,18 @@ def test_disguised_addresses_of_hosts(text):
 @pytest.mark.parametrize("text", ["256[.]1[.]1[.]1", "1 dot 2 dot 3", "I.O.l.o", "1234[.]1[.]1[.]1", "192[.]168[.]1[.]1000", "a 5 dot b 6 dot c"])
 def test_what_is_no_address_of_a_host(text):
     assert pii.find(f"see {text}, or not")[1][1] == []
+
+
+def test_gates_let_through_all_that_their_searches_find(monkeypatch):
+    r = random.Random(6)
+    names = ["one", "Eight", "null", "cinq", "oh", "seven", "192", "8", "1O", "l", "255", "x", "ſix"]
+    joints = ["[dot]", "(dot)", " dot ", "[.]", ".", " [dot] ", "{punkt}", " ", ", ", "-", "«", "(", "\n", "_"]
+    seen = 0
+    for _ in range(20_000):
+        text = "".join(r.choice(names) + r.choice(joints[:6] if r.random() < 0.7 else joints) for _ in range(r.randrange(3, 9)))
+        for soon, find in ((pii._spelled_soon, pii._spelled), (pii._QUAD_SOON.search, pii._quads)):
+            edits = find(text)
+            assert not edits or soon(text), text
+            seen += bool(edits)
+    assert seen > 2000
+    assert pii._spelled_soon("eight[dot]eight[dot]eight[dot]eight") and pii._spelled_soon("one(dot)one(dot)one(dot)one")

@@ -127,6 +127,7 @@ _WORD = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
 _POINT = r"(?: ?[\[({] ?(?:dot|punkt|point|punto|\.) ?[\])}] ?| (?:dot|punkt|point|punto) )"
 _SPELLED = re.compile(rf"(?:\bplus[ -]+|\+ ?)?(?<!\w)(?:{_WORD}|[0-9]+)(?:(?:[ ,-]{{1,3}}|{_POINT}|\.)(?:{_WORD}|[0-9]+)(?!\w)){{3,}}", re.I)
 _SPELLED_PART = re.compile(rf"(?P<p>{_POINT}|\.)|(?P<w>{_WORD})|(?P<d>[0-9])|(?P<plus>plus|\+)|(?P<s>[ ,-])", re.I)
+_WORDS = re.compile(r"\w+")
 _POINT_WORDS = frozenset("dot punkt point punto".split())
 _LETTERED = re.compile(r"(?<![0-9A-Za-z])\+?[0-9OolI](?:[ .-]?[0-9OolI]){7,}(?![0-9A-Za-z])")
 _LETTER_DIGITS = str.maketrans("OolI", "0011")
@@ -223,12 +224,12 @@ def _touches(span: Span, found: list[Span]) -> bool:
 
 def _spelled_soon(text: str) -> bool:
     """Whether a digit's name stands before another, a number, or a point; a run of names has such a place."""
-    words = text.lower().replace(",", " ").replace("-", " ").replace(".", " ").split()
+    words = _WORDS.findall(text.lower().replace("ſ", "s").replace("ı", "i"))
     if _VALUE.keys().isdisjoint(words):
         return False
     named = False
     for w in words:
-        if named and (w in _VALUE or w[0] in "0123456789[({" or w in _POINT_WORDS):
+        if named and (w in _VALUE or w[0] in "0123456789" or w in _POINT_WORDS):
             return True
         named = w in _VALUE
     return False
