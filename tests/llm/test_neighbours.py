@@ -59,3 +59,21 @@ def test_blocks_of_queries_give_the_same(spark):
     vectors = spark.createDataFrame([(i, r.normal(size=7).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
     one = sorted(map(tuple, neighbours.nearest(vectors, F.col("vec_id") % 10 == 0).collect()))
     assert one == sorted(map(tuple, neighbours.nearest(vectors, F.col("vec_id") % 10 == 0, block=4).collect()))
+
+
+def test_recall_where_a_third_of_the_vectors_are_near_copies(spark):
+    r = np.random.default_rng(5)
+    n, dim = 6000, 32
+    x = r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] = x[0] + r.normal(size=(n // 3, dim)) * 0.002
+    x = x.astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for row in neighbours.nearest(vectors, F.col("vec_id") % 250 == 0).collect():
+        got.setdefault(row.query_id, {})[row.rank] = row.vec_id
+    assert len(got) == n // 250
+    for q, found in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        assert [found[k] for k in range(1, 11)] == np.lexsort((np.arange(n), d))[:10].tolist()

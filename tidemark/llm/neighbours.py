@@ -4,9 +4,11 @@ Smallest Euclidean distance is greatest inner product once each vector carries h
 product-quantised to four bits for every two dimensions, under a loss that counts the residual's part along x ETA times (what errs there errs in the
 score). Codes are set by coordinate descent over the parts, code words by the normal equations of that loss.
 
-The codebook is fitted on a bounded sample (the SAMPLE vectors of smallest hash); every vector is encoded. Queries are taken in blocks of about QUERIES;
-a block is broadcast (bounded), every partition of codes is scanned with the block's tables of partial scores and gives each query's RERANK best, of
-equals the smaller ids; the best of all partitions are reranked by the exact distance of the original vectors in double precision.
+The codebook is fitted on a bounded sample (the SAMPLE vectors of smallest hash); every vector is encoded, and keeps its residual's length and the part of
+its residual along it, which is added to its scores. What then errs in the score of a vector x is (q - x).r, at most its distance to the query times the
+length of its residual r. Queries are taken in blocks of about QUERIES; a block is broadcast (bounded), and every partition of codes is scanned with the
+block's tables of partial scores: the exact distances in double precision of the RERANK best by score bound the k-th distance, and then every vector whose
+score is within its error of that bound is reranked exactly, however many they are. Each partition gives k for a query, the best of all partitions count.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of another length than the
 commonest in the sample; rows that share a vec_id count as one, at the nearest of their distances; a null vec_id takes no part; ties go to the smaller
@@ -135,7 +137,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def index(vectors: DataFrame, book: Codebook) -> DataFrame:
-    """The code of every vector: vec_id, code (a byte for two parts), half (half the squared norm)."""
+    """The code of every vector: vec_id, embedding, code (a byte for two parts), offset (what is added to its score), apart (the residual's length)."""
     shared, dim = vectors.sparkSession.sparkContext.broadcast(book), book.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,39 +146,66 @@ def index(vectors: DataFrame, book: Codebook) -> DataFrame:
                 x = _matrix(b.column(1), dim)
                 c = shared.value.encode(x)
                 packed = (c[:, 0::2] * WORDS + c[:, 1::2]).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(((x**2).sum(1) / 2).astype(np.float32))], ["vec_id", "code", "half"])
+                r = shared.value._residual(_padded(x), c)
+                offset = (r * _padded(x)).sum((1, 2)) - (x**2).sum(1) / 2
+                cols = [b.column(0), b.column(1), pa.array([v.tobytes() for v in packed], pa.binary()), pa.array(offset), pa.array(np.sqrt((r**2).sum((1, 2))))]
+                yield pa.RecordBatch.from_arrays(cols, ["vec_id", "embedding", "code", "offset", "apart"])
 
-    return vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").where(F.size("embedding") == dim).mapInArrow(run, "vec_id long, code binary, half float")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.selectExpr("cast(vec_id as long) vec_id", "embedding").where(F.size("embedding") == dim).mapInArrow(run, f"vec_id long, embedding {kind}, code binary, offset double, apart double")
 
 
-def scan(codes: DataFrame, book: Codebook, ids: np.ndarray, queries: np.ndarray, rerank: int = RERANK) -> DataFrame:
-    """Each query's best of every partition of codes by approximate score: query_id, vec_id, approx."""
+def _nearest_of(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest, each id once at its smallest distance; of equals those with smaller ids."""
+    order = np.lexsort((ids, far))
+    far, ids = far[order], ids[order]
+    _, first = np.unique(ids, return_index=True)
+    keep = np.sort(first)[:k]
+    return far[keep], ids[keep]
+
+
+def scan(codes: DataFrame, book: Codebook, ids: np.ndarray, queries: np.ndarray, k: int = K, rerank: int = RERANK) -> DataFrame:
+    """Each query's k nearest of every partition of codes by exact distance: query_id, vec_id, score."""
     shared = codes.sparkSession.sparkContext.broadcast((book, ids, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, ids, queries = shared.value
-        top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(ids)
+        tables: list[np.ndarray | None] = [None] * len(ids)
+        top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for b in batches:
             for at in range(0, b.num_rows, _SLAB):
                 part = b.slice(at, _SLAB)
-                own = part.column(0).to_numpy()
-                code = np.ascontiguousarray(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(own), -1).T)
-                half = part.column(2).to_numpy()
+                own, x = part.column(0).to_numpy(), _matrix(part.column(1), book.dim)
+                code = np.ascontiguousarray(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(own), -1).T)
+                offset, apart = part.column(3).to_numpy(), part.column(4).to_numpy()
+                size = np.sqrt((x**2).sum(1).max())
                 for i, q in enumerate(queries):
-                    score = -half
-                    for lut, c in zip(book.tables(q), code, strict=True):
-                        score = score + lut[c]
-                    other = own != ids[i]
-                    score, near = np.concatenate([top[i][0], score[other]]), np.concatenate([top[i][1], own[other]])
-                    best = _best(score, near, rerank)
-                    top[i] = (score[best], near[best])
+                    if tables[i] is None:
+                        tables[i] = book.tables(q)
+                    score = offset.copy()
+                    for lut, c in zip(tables[i], code, strict=True):
+                        score += lut[c]
+                    score[own == ids[i]] = -np.inf
+
+                    def add(some: np.ndarray, i: int = i, q: np.ndarray = q) -> None:
+                        far = np.sqrt(((x[some] - q) ** 2).sum(1))
+                        top[i] = _nearest_of(np.concatenate([top[i][0], far]), np.concatenate([top[i][1], own[some]]), k)
+
+                    some = _best(score, own, rerank)
+                    add(some[score[some] > -np.inf])
+                    edge = top[i][0][-1] if len(top[i][0]) == k else np.inf
+                    half = (q**2).sum() / 2
+                    slack = 1e-4 * (half + np.sqrt(2 * half) * size + size**2)  # single precision of the tables
+                    close = np.flatnonzero((score > -np.inf) & (score + edge * apart + slack >= half - edge**2 / 2)) if edge < np.inf else np.flatnonzero(score > -np.inf)
+                    for start in range(0, len(close), 4096):
+                        add(close[start : start + 4096])
         for i in range(0, len(ids), 64):
             some = top[i : i + 64]
             if any(len(s) for s, _ in some):
                 who = np.repeat(ids[i : i + 64], [len(s) for s, _ in some])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([v for _, v in some])), pa.array(np.concatenate([s for s, _ in some]))], ["query_id", "vec_id", "approx"])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([v for _, v in some])), pa.array(np.concatenate([s for s, _ in some]))], ["query_id", "vec_id", "score"])
 
-    return codes.mapInArrow(run, "query_id long, vec_id long, approx float")
+    return codes.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def _first(rows: DataFrame, order: list, n: int) -> DataFrame:
@@ -198,15 +227,12 @@ def nearest(vectors: DataFrame, is_query, k: int = K, rerank: int = RERANK, bloc
     for i in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
         if rows:
-            part = scan(codes, book, np.array([r.query_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64), max(rerank, k))
-            part = _first(part, [F.col("approx").desc(), F.col("vec_id")], max(rerank, k)).select("query_id", "vec_id").distinct()
+            part = scan(codes, book, np.array([r.query_id for r in rows], np.int64), np.array([r.q for r in rows], np.float64), k, max(rerank, k))
             part = written(part, "candidates") if blocks > 1 else part
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], empty)
-    apart = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    exact = found.join(vectors, "vec_id").join(queries, "query_id").select("query_id", F.col("vec_id").cast("long").alias("vec_id"), F.sqrt(apart).alias("score"))
-    exact = exact.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    exact = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return _first(exact, [F.col("score"), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
