@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -76,3 +77,20 @@ def test_chains_join_into_one_component(spark):
         chain.append(chain[-1] ^ (3 << k))
     fps = spark.createDataFrame([(i, p) for i, p in enumerate(chain)], "doc_id long, __fp long")
     assert {x.component_id for x in simhash.classes(fps).collect()} == {0}
+
+
+def test_one_stays_of_groups_without_ids_and_of_repeated_rows(spark):
+    a, b = "one two three four five six", "quite another text about other things"
+    rows = [(None, a, 1), (None, a, 1), (None, b, 2), (7, a + " seven eight nine ten", 3), (7, a + " seven eight nine ten", 4), (7, b + " and more of it all", 5), (8, None, 6), (9, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int").withColumns({"text_digest": F.lit(1), "id": F.lit(2), "n": F.lit(3), "digest": F.lit(4)})
+    kept = simhash.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(x.doc_id), x.text or "") for x in kept.collect()) == sorted([("None", a), ("None", b), ("7", rows[3][1]), ("7", rows[5][1]), ("8", "")])
+
+
+def test_many_losers_are_filtered_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i % 20} of the twenty", i) for i in range(200)], "doc_id long, text string, n int")
+    want = sorted(map(tuple, simhash.distinct_documents(docs).collect()))
+    monkeypatch.setattr(simhash, "small", lambda df: df)
+    assert sorted(map(tuple, simhash.distinct_documents(docs).collect())) == want
+    assert len({x[1] for x in want}) == len(want)

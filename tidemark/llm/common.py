@@ -1,15 +1,15 @@
-"""What the corpus operators share: reading tables, shared scratch space, checked broadcasts."""
+"""What the corpus operators share: reading tables, bounded Arrow batches, checked broadcasts; shared scratch space is that of the whole library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.storage import release, written  # noqa: F401  used through this module
+
 #: ASCII white space as the contracts define it, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -38,22 +38,6 @@ def others(df: DataFrame, *taken: str) -> tuple[list[T.StructField], list[int]]:
     return [df.schema.fields[i] for i in places], places
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most that many (narrow) rows, else as it is. df should be a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -20,11 +20,11 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, table, written
+from tidemark.llm.common import arrow_map, small, table, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 
@@ -53,18 +53,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "__fp", shingle: int = SHINGLE) -> DataFrame:
-    """docs with the fingerprint in a new column; `text` is a column, or `struct.field`."""
-    outer, _, field = text.partition(".")
-    at = docs.columns.index(outer)
+def with_fingerprint(docs: DataFrame, name: str = "__fp", shingle: int = SHINGLE) -> DataFrame:
+    """docs, whose last column is the text, with the fingerprint in its place. Only narrow columns should stand before it."""
+    *kept, _ = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).field(field) if field else b.column(at)
-            new = pa.array([fingerprint(x.as_py(), shingle) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, new], [*b.schema.names, name])
+            new = pa.array([fingerprint(x.as_py(), shingle) for x in b.columns[-1]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], [*b.schema.names[:-1], name])
 
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return arrow_map(docs, run, T.StructType([*kept, T.StructField(name, T.LongType())]))
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -142,32 +140,58 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """prints: doc_id, __fp. Returns __fp, component_id, one row per fingerprint."""
+    """prints: doc_id, __fp. Returns __fp, root, component_id, one row per fingerprint."""
     per = written(prints.groupBy("__fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = components(links(per, distance))
     marked = per.join(roots.withColumnRenamed("u", "__fp"), "__fp", "left").select("__fp", "first", F.coalesce("root", "__fp").alias("root"))
     marked = written(marked, "roots")
     named = marked.groupBy("root").agg(F.min("first").alias("component_id"))
     # written, so that joins with it are plain shuffles and a hot fingerprint's rows can be split
-    return written(marked.join(named, "root").select("__fp", "component_id"), "classes")
+    return written(marked.join(named, "root").select("__fp", "root", "component_id"), "classes")
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Per document: doc_id, fingerprint, component_id."""
-    prints = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "__fp"), "prints")
+    prints = written(with_fingerprint(docs.select("doc_id", "text")), "prints")
     out = prints.join(classes(prints, distance), "__fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, lengthened until docs has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def distinct_documents(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id; all columns stay. Of repeated rows of it, one stays."""
-    prints = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "__fp"), "prints")
-    chosen = classes(prints, distance).join(prints, "__fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__of")).distinct()
-    rows = with_fingerprint(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id")), "row.text")
-    rows = rows.join(chosen, rows["__id"].eqNullSafe(chosen["__id"]) & (F.col("__fp") == F.col("__of")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("__fp"))
-    return rows.withColumn("__n", one).where("__n = 1").select("row.*")
+    """docs with one document of each group, the one with the smallest doc_id; of several rows with that doc_id the one whose text has the smallest digest,
+    a null text being empty; of rows that have both in common, one. All columns stay.
+
+    What stays is chosen on doc_ids and digests. Whole rows are then filtered by those that go, by broadcast if they are few, else by one semi-join with
+    those that stay; only rows that share doc_id and text with another are numbered."""
+    digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+    prints = written(with_fingerprint(docs.select("doc_id", digest.alias("digest"), "text")), "prints")
+    per = prints.groupBy("__fp", F.col("doc_id").alias("id"), "digest").agg(F.count(F.lit(1)).alias("n"))
+    per = written(per.join(classes(prints, distance), "__fp").select("root", "id", "digest", "n"), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n"))
+    stay = written(per.groupBy("root").agg(first.alias("of")).select("of.id", "of.digest", "of.n"), "stay")
+    go = written(per.select("id", "digest").join(stay, per["id"].eqNullSafe(stay["id"]) & (per["digest"] == stay["digest"]), "left_anti"), "go")
+    text, at = _free(docs, "text_digest"), _free(docs, "at")
+    here = docs.withColumn(text, digest)
+
+    def same(t: DataFrame) -> Column:
+        return here["doc_id"].eqNullSafe(t["id"]) & (here[text] == t["digest"])
+
+    few = small(go)
+    kept = here.join(few, same(few), "left_anti") if few is not go else here.join(stay, same(stay), "left_semi")
+    twice = stay.where("n > 1")
+    if not twice.limit(1).count():
+        return kept.drop(text)
+    more = small(written(twice, "repeated"))
+    one = F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(1)))
+    again = kept.join(more, same(more), "left_semi").withColumn(at, one).where(F.col(at) == 1)
+    return kept.join(more, same(more), "left_anti").unionByName(again.drop(at)).drop(text)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
