@@ -30,6 +30,27 @@ def brute(texts, length):
     return out
 
 
+def brute_passages(texts, words):
+    """Bytes of runs of words that another text, or a copy, has too."""
+    import re
+
+    owners, runs = {}, []
+    for i, t in enumerate(texts):
+        found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        own = [(tuple((t or "").encode()[a:b] for a, b in found[k : k + words]), found[k][0], found[k + words - 1][1]) for k in range(len(found) - words + 1)]
+        runs.append(own)
+        for w, *_ in own:
+            owners.setdefault(w, set()).add(i)
+    out = []
+    for own in runs:
+        on = set()
+        for w, a, b in own:
+            if len(owners[w]) > 1:
+                on.update(range(a, b))
+        out.append(len(on))
+    return out
+
+
 def corpus(r, n, alphabet="abcdé \n"):
     passages = ["".join(r.choice(alphabet) for _ in range(r.randrange(20, 200))) for _ in range(6)]
     texts = []
@@ -42,11 +63,15 @@ def corpus(r, n, alphabet="abcdé \n"):
     return [*texts, texts[0], texts[0], "", None, "x" * 500, "ab" * 300, texts[1] * 3]
 
 
-def check(spark, texts, length, window, hot=repeats.HOT):
+def check(spark, texts, length, window, hot=repeats.HOT, words=repeats.WORDS):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, key int, n int")
-    got = {x.doc_id: (x.n_bytes, [tuple(s) for s in x.spans], bytes(x.kept)) for x in repeats.without_repeats(docs, length, window, hot).collect()}
+    rows = repeats.without_repeats(docs, length, window, hot, words).collect()
+    got = {x.doc_id: (x.n_bytes, [tuple(s) for s in x.spans], bytes(x.kept)) for x in rows}
     want = brute(texts, length)
     assert got == dict(enumerate(want))
+    passages = {x.doc_id: sum(e - s for s, e in x.passages) for x in rows}
+    assert passages == dict(enumerate(brute_passages(texts, words)))
+    return passages
 
 
 def test_anchors_head_every_string():
@@ -75,6 +100,37 @@ def test_against_brute_force(spark, seed, length, window):
 
 def test_hot_cores_give_the_same(spark):
     check(spark, corpus(random.Random(3), 40, "abc"), 60, 24, hot=3)
+    assert any(check(spark, corpus(random.Random(5), 40), 60, 24, hot=1, words=9).values())
+
+
+def test_passages_are_runs_of_words(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgé") for _ in range(r.randrange(1, 6)))
+    passage = [word() for _ in range(51)]
+    other = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(r.randrange(80))] + passage + [word() for _ in range(r.randrange(80))]) for _ in range(4)]
+    texts += ["\n".join(passage), " ".join(passage[:50]), " ".join(other + ["x"] + other), "z" * 9000 + " " + " ".join(passage[1:]), " ".join(other[:9] * 20), " ".join(other[:9] * 20)]
+    found = check(spark, texts, repeats.LENGTH, repeats.WINDOW)
+    assert all(found[i] for i in (0, 1, 2, 3, 4, 8, 9)) and not any(found[i] for i in (5, 6, 7))
+
+
+def test_query_against_brute_force(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    texts = [t for _, t in rows]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in repeats.op4_repeats(spark, sf).collect()}
+    want = zip(brute(texts, 400), brute_passages(texts, 51))
+    assert got == {d: (n, sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest(), p) for (d, _), ((n, spans, kept), p) in zip(rows, want)}
+    assert any(r[1] for r in got.values())
+
+
+def test_rows_without_ids_are_rows(spark):
+    line = "some words that stand here " * 20
+    docs = spark.createDataFrame([(None, line), (None, line), (1, "short"), (2, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, len(r.kept)) for r in repeats.without_repeats(docs).collect())
+    assert got == [("1", 5, 5), ("2", 0, 0), ("None", len(line), 0), ("None", len(line), 0)]
 
 
 def test_production_length(spark):
