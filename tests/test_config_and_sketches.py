@@ -74,26 +74,25 @@ def test_duplicates(spark):
     r = random.Random(2)
     base = ["a b c a b c a b c", "a b c a b c a b c", "x y", "x", "p q r s t u v w x y z m", "p q r s t u v w x o n k", "p q r s t u v w x y z o"]
     texts = base + [" ".join(words(r, r.randrange(1, 12))) for _ in range(60)] + base
-    m, toks = stream(spark, texts)
-    exact = {x.seq: x for x in duplicates.exact(m, toks, Duplicates()).collect()}
+    m, _ = stream(spark, texts)
+    exact = {x.seq: x for x in duplicates.exact(m, Duplicates()).collect()}
     assert [(exact[i + 1].duplicate_score, exact[i + 1].is_duplicate) for i in range(len(texts))] == brute_duplicates(texts)
     assert exact[1].duplicate_score == 0.0 and exact[2].duplicate_score == 1.0 and exact[6].duplicate_score == 0.7 and exact[6].is_duplicate
     for bits in (200, 100_000):
         config = Duplicates(bloom=Bloom(bits))
-        lax = {x.seq: x for x in duplicates.through_bloom(m, toks, config).collect()}
+        lax = {x.seq: x for x in duplicates.through_bloom(m, config).collect()}
         assert all(lax[s].n_hits >= exact[s].n_hits for s in exact)
-        b = {x.b: x.first_seq for x in duplicates.bit_firsts(duplicates.grams(toks, 3), config.bloom).collect()}
-        fill = {x.seq: x.fill_ratio for x in duplicates.fill_ratio(m, toks, config).collect()}
+        b = {x.b: x.first_seq for x in duplicates.bit_firsts(duplicates._keyed(m, config), config.bloom).collect()}
+        fill = {x.seq: x.fill_ratio for x in duplicates.fill_ratio(m, config).collect()}
         assert all(fill[s] == pytest.approx(sum(f <= s for f in b.values()) / config.bloom.bits) for s in fill)
-    s = duplicates.summary(duplicates.exact(m, toks, Duplicates())).first()
+    s = duplicates.summary(duplicates.exact(m, Duplicates())).first()
     d = sum(x for _, x in brute_duplicates(texts))
     assert (s.processed, s.excluded, s.total) == (len(texts), 0, d) and s.rate == d / len(texts)
-    s = duplicates.summary(duplicates.exact(m, toks, Duplicates()), exclude=True).first()
+    s = duplicates.summary(duplicates.exact(m, Duplicates()), exclude=True).first()
     assert (s.processed, s.excluded, s.total) == (len(texts) - d, d, 0)
-    s = duplicates.summary(duplicates.exact(m.limit(0), toks.limit(0), Duplicates())).first()
+    s = duplicates.summary(duplicates.exact(m.limit(0), Duplicates())).first()
     assert tuple(s) == (0, 0, 0, 0.0, 0.0)
-    grams = duplicates.grams(toks, 3)
-    all_in = duplicates.membership(grams, grams, Bloom(10_000)).collect()
+    all_in = duplicates.membership(m, m, Duplicates(bloom=Bloom(10_000))).collect()
     assert all(x.n_hits == x.n_shingles for x in all_in)
 
 
@@ -161,3 +160,49 @@ def test_histogram_bursts_reach_quiet_bins(spark):
         for t in times[k:]:
             want[t, b] = (h.count(t, 10), max(0, h.count(t, 20) - h.count(t, 10)))
     assert got == {k: v for k, v in want.items() if v[0] >= 1 and (v[0] + 1e-6) / (v[1] + 1e-6) >= 2}
+
+
+def test_histogram_segments_keep_the_bounds(spark):
+    r = random.Random(6)
+    rows = sorted({(r.randrange(1, 600), r.randrange(4)): r.randrange(1, 4) for _ in range(500)}.items())
+    events = spark.createDataFrame([(s, b, n) for (s, b), n in rows], "seq long, bin int, n long")
+    config, times = Burst(window=20, threshold=1e-9), range(7, 601, 7)
+    got = {(x.t, x.bin): x.recent_count for x in dgim.bursts(events, times, config, segment=64).collect()}
+    for t in times:
+        for b in range(4):
+            true = sum(n for (s, bb), n in rows if bb == b and t - 10 < s <= t)
+            assert true <= got.get((t, b), 0) <= 2 * true + 2 * sum(n for (s, bb), n in rows if bb == b and t - 20 < s <= t - 10) if true else got.get((t, b), 0) >= 0
+
+
+def test_running_by_blocks(spark):
+    r = random.Random(7)
+    rows = [(r.randrange(300), r.choice("ab"), r.randrange(9)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "seq long, k string, v long")
+    from tidemark.operators.sequence import running
+
+    for how, f in (("sum", sum), ("max", max)):
+        for x in running(frame, "v", "out", ("k",), how, block=16).collect():
+            assert x.out == f(v for s, k, v in rows if k == x.k and s <= x.seq)
+
+
+def test_tops_over_many_snapshots(spark):
+    r = random.Random(8)
+    toks = [(s, r.choice("abc") if s % 3 else f"w{s // 500}") for s in range(1, 5000) for _ in range(2)]
+    frame = spark.createDataFrame(toks, "seq long, tok string")
+    got = {(x.t, x.rk): (x.tok, x.n) for x in frequency.top_at_snapshots(frame, 5, 3).collect()}
+    seen, want = Counter(), {}
+    by = {}
+    for s, t in toks:
+        by.setdefault(s, []).append(t)
+    for s in range(1, 5000):
+        seen.update(by[s])
+        if s % 5 == 0:
+            want |= {(s, k + 1): x for k, x in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:3])}
+    assert got == want
+
+
+def test_a_hundred_thousand_snapshots(spark):
+    toks = spark.range(1, 200_001).select(F.col("id").alias("seq"), F.concat(F.lit("w"), F.length(F.bin(F.col("id").bitwiseAND(-F.col("id"))))).alias("tok"))
+    out = frequency.top_at_snapshots(toks, 2, 2)
+    assert out.count() == 200_000
+    assert {(r.tok, r.n, r.rk) for r in out.where("t = 200000").collect()} == {("w1", 100_000, 1), ("w2", 50_000, 2)}

@@ -1,16 +1,20 @@
+import datetime as dt
 import json
 import random
+from xml.etree import ElementTree
 
 import duckdb
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from tidemark import cli
-from tidemark.config import Run
+from tidemark.config import CountMin, Run
 from tidemark.functions import text as X
-from tidemark.operators import ranks, sampling
+from tidemark.operators import duplicates, frequency, ranks, sampling
 from tidemark.operators.sequence import running_total, sequenced
-from tidemark.plans.report import MessageRun
+from tidemark.plans.chart import bump_chart
+from tidemark.plans.report import Detectors, MessageRun
 from tidemark.queries import QUERIES, RUN
 from tidemark.sources import conversations as S
 from tidemark.streaming.stream import MessageStream
@@ -42,13 +46,15 @@ def test_files_to_stream(spark, data):
     rows = S.ChatFiles(str(data)).load(spark, force_reload=True)
     test = rows.where("split = 'test'")
     assert {r.conv_id.rsplit("/", 1)[1] for r in test.collect()} == {"a.json", "b.json", "d.json"}
-    out = [(r.seq, r.body) for r in S.stream(S.flattened(test)).orderBy("seq").collect()]
-    assert out == [(1, " café pictures"), (2, "first words here"), (3, "no time given")]
+    out = [(r.seq, r.raw_body, r.body) for r in S.stream(S.flattened(test)).orderBy("seq").collect()]
+    assert out == [(1, " café pictures", "café picture"), (2, "first words here", "first word"), (3, "no time given", "time given")]
+    assert [r.body for r in S.stream(S.flattened(test, None)).orderBy("seq").collect()] == [" café pictures", "first words here", "no time given"]
     everything = S.ChatFiles(str(data)).load(spark, force_reload=True, all_messages=True)
     assert everything.where("split = 'test'").count() == 4
-    train = {r.body for r in S.flattened(everything.where("split = 'train'")).collect()}
+    train = {r.raw_body for r in S.flattened(everything.where("split = 'train'")).collect()}
     assert " kept words" in train and any("ignore it. Here" in b for b in train)
-    assert S.flattened(test).where("body <> raw_body").count() == 0
+    assert S.flattened(test, None).where("body <> raw_body").count() == 0
+    assert S.ChatFiles(str(data)).messages(spark, "nowhere").count() == 0
     assert {(r.label, r.dataset) for r in rows.collect()} == {("scam", "ChatFiles")}
     assert rows.where("split = 'none'").count() == 0
 
@@ -62,7 +68,7 @@ def test_loading_keeps_results_by_all_options(spark, data):
     assert swapped.load(spark).where("split = 'train'").count() == n - 2
     assert S.ChatFiles(str(data), sample_size=1).load(spark).groupBy("split").count().where("count > 1").count() == 0
     found = S.load_all(spark, [a, S.ChatFiles(str(data), dataset_name="two")])
-    assert set(found) == {"one", "two"} and S.splits_of(found, "none") == (None, None, None)
+    assert set(found) == {"one", "two"} and [x.count() for x in S.splits_of(found, "none")] == [0, 0, 0]
     assert S.splits_of(found, "one")[2].count() == n - 2
 
 
@@ -82,6 +88,7 @@ def test_text_rules(spark):
     assert X.shingles(X.tokens(rows), 1).count() == 6 and X.shingles(X.tokens(rows), 3).count() == 2
     one = [r.t for r in spark.createDataFrame([("cats",), ("boxes",), ("parties",), ("glass",), ("was",), ("bus",)], "t string").select(X.singular(F.col("t")).alias("t")).collect()]
     assert one == ["cat", "box", "party", "glass", "was", "bus"]
+    assert X.ENGLISH_STOPS == StopWordsRemover.loadDefaultStopWords("english")
     assert {"u", "enron"} <= set(X.stop_words()) and "u" not in X.stop_words(False)
     assert X.tokens(rows, stops=["été", "a"]).count() == 4 and X.tokens(rows, lemma=True).count() == 6
 
@@ -116,6 +123,10 @@ def test_ranks(spark):
     assert {(r.term, r.first_t, r.last_t, r.points) for r in ranks.segments(ranked, 10).collect()} == {("a", 10, 10, 1), ("a", 30, 30, 1), ("b", 10, 20, 2), ("c", 30, 30, 1)}
     assert {r.term: (r.appearances, r.marker) for r in ranks.markers(ranked).collect()} == {"a": (2, 2), "b": (2, 2), "c": (1, 1)}
     assert ranks.wide(top, [10, 20]).columns == ["term", "t_10", "t_20"]
+    assert sorted((r.t, r.term, r.ratio or 0) for r in ranks.outer(top, 10).collect()) == sorted([(10, "a", 3.0), (10, "b", 4.0), (10, "c", 0), (20, "a", 0), (20, "b", 2.0), (20, "c", 0), (30, "a", 9.0), (30, "b", 0), (30, "c", 9.0)])
+    drawing = bump_chart(ranked, 10)
+    assert drawing.count("<polyline") == 4 and ">c</text>" in drawing and ElementTree.fromstring(drawing).tag.endswith("svg")
+    assert "<polyline" not in bump_chart(ranked.limit(0), 10)
 
 
 @pytest.mark.parametrize("exclude", [False, True])
@@ -140,8 +151,33 @@ def test_a_run_and_its_summary(spark, exclude):
 
 def test_command_line(spark, data, capsys):
     out = json.loads(cli.main(["--data-dir", str(data), "--update-interval", "2", "--freq-query", "words", "--show-text"], spark))
-    assert out["processed"] == 3 and out["frequency_estimates"] == {"words": 1} and len(out["messages"]) == 3
+    assert out["processed"] == 3 and out["frequency_estimates"] == {"words": 0} and len(out["messages"]) == 3
     assert json.loads(capsys.readouterr().out) == out
+    assert out["messages"][0]["text"] == "café picture" and {x["representative"] for x in out["messages"][0]["burst"]} == {"café", "picture"}
+    assert set(out["messages"][0]["duplicate"]) == {"is_duplicate", "duplicate_score", "fill_ratio"}
+
+
+def test_stop_words_never_reach_the_detectors(spark, tmp_path):
+    (tmp_path / "test_convs").mkdir()
+    for i in range(6):
+        (tmp_path / f"test_convs/{i}.json").write_text(json.dumps({"messages": [msg("the of and", 3 * i), msg("It is the account of Jenkins and accounts are in it", 3 * i + 1), msg(f"transfer the money{'s' * i} to them", 3 * i + 2)]}))
+    chart = tmp_path / "chart.svg"
+    out = json.loads(cli.main(["--data-dir", str(tmp_path), "--update-interval", "4", "--exclude-duplicates", "--freq-query", "account", "--freq-query", "the", "--chart", str(chart)], spark))
+    assert out["processed"] + out["excluded_duplicates"] == 12
+    assert out["frequency_estimates"] == {"account": 12, "the": 0} and next(iter(out["final top_tokens"])) == "account"
+    assert not set(out["final top_tokens"]) & set(X.stop_words()) and chart.read_text().startswith("<svg")
+
+
+def test_detectors_can_be_replaced(spark):
+    m = spark.createDataFrame([(i + 1, "red green blue dark") for i in range(4)], "seq long, body string")
+    none = lambda messages, config: messages.select("seq", *(F.lit(0).cast("long").alias(c) for c in ("n_shingles", "n_hits")), F.lit(0.0).alias("duplicate_score"), F.lit(False).alias("is_duplicate"))
+    run = MessageRun(m, Run(interval=2, top=2, count_min=CountMin(1, 1)), Detectors(duplicates=none, frequencies=frequency.counted))
+    out = run.summary("test", ("RED", "none"))
+    assert out["duplicates"]["total"] == 0 and out["frequency_estimates"] == {"RED": 4, "none": 0} and out["final top_tokens"] == {"blue": 4, "dark": 4}
+    usual = MessageRun(m, Run(interval=2), Detectors(duplicates=duplicates.through_bloom)).summary("test")
+    assert usual["duplicates"]["total"] == 3
+    per = {r.seq: r for r in MessageRun(m, Run()).message_results(("Red", "x")).collect()}
+    assert [per[s].frequencies for s in (1, 2, 3, 4)] == [{"Red": s, "x": 0} for s in (1, 2, 3, 4)] and per[2].duplicate.is_duplicate
 
 
 @pytest.mark.parametrize("batches", [1, 2, 5])
@@ -183,6 +219,27 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
+def test_late_events_by_watermark(spark, tmp_path):
+    s = MessageStream(spark, RUN, [])
+    at = str(tmp_path / "events")
+    write = lambda rows: spark.createDataFrame([(dt.datetime(2024, 1, d, h), k) for d, h, k in rows], "ts timestamp, k string").coalesce(1).write.mode("append").parquet(at)
+    play = lambda: {(r.start.day, r.k): r.n for r in s.play_over_time(spark.readStream.schema("ts timestamp, k string").parquet(at), "ts", "k", "1 day", "6 hours").collect()}
+    write([(1, 1, "a"), (1, 2, "a"), (2, 3, "b")])
+    assert play() == {(1, "a"): 2, (2, "b"): 1}
+    write([(2, 1, "b"), (3, 20, "a")])
+    assert play() == {(1, "a"): 2, (2, "b"): 2, (3, "a"): 1}
+    write([(1, 5, "a"), (3, 2, "a")])  # the first is too late, the second isn't
+    assert play() == {(1, "a"): 2, (2, "b"): 2, (3, "a"): 2}
+
+
+def test_tracked_terms_are_bounded(spark):
+    s = MessageStream(spark, Run(top=2, tracked=2), ["k"])
+    for b, text in enumerate(["a a a b", "c c d", "c c e", "a e"]):
+        s.batch(spark.createDataFrame([(1, text)], "k int, body string"), b)
+    assert [(r.tok, r.est) for r in s.top().orderBy("rk").collect()] == [("a", 4), ("c", 4)]
+    assert s._part("tracked", 3).count() == 2 and not s._exists(f"{s.path}/cells/batch=0")
+
+
 def test_stream_reports(spark):
     s = MessageStream(spark, Run(top=2), ["k"])
     assert s.frequencies().count() == 0 and s.bursts().count() == 0 and s.top().count() == 0

@@ -6,11 +6,12 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.config import Run
+from tidemark.plans.chart import bump_chart, save
 from tidemark.plans.report import MessageRun, as_json
-from tidemark.sources.conversations import ChatFiles, flattened, stream
+from tidemark.plans.storage import written
+from tidemark.sources.conversations import ChatFiles
 
 
 def options() -> argparse.ArgumentParser:
@@ -29,6 +30,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--include-duplicates", action="store_false", dest="exclude_duplicates")
     p.add_argument("--update-interval", type=int, default=100)
     p.add_argument("--top-frequency", type=int, default=10)
+    p.add_argument("--chart", metavar="FILE", help="write the bump chart of the burst ranks there, as SVG")
     return p
 
 
@@ -36,9 +38,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
     o = options().parse_args(args)
     config = Run(interval=o.update_interval, top=o.top_frequency, max_messages=o.max_messages, exclude_duplicates=o.exclude_duplicates)
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
-    found = ChatFiles(o.data_dir, o.train_subdir, o.test_subdir).load(spark, force_reload=True, all_messages=o.all_messages)
-    messages = stream(flattened(found.where(F.col("split") == o.split)), o.max_messages)
-    out = MessageRun(messages, config).summary(o.split, tuple(o.freq_query), o.show_text)
+    found = ChatFiles(o.data_dir, o.train_subdir, o.test_subdir, use_skipwords=True)
+    run = MessageRun(written(found.messages(spark, o.split, o.max_messages, force_reload=True, all_messages=o.all_messages), "messages"), config)
+    out = run.summary(o.split, tuple(o.freq_query), o.show_text)
+    if o.chart:
+        save(spark, bump_chart(run.rank_table(), o.update_interval), o.chart)
     print(as_json(out))
     print(f"Processed {out['processed']} messages from split '{o.split}'.", file=sys.stderr)
     if o.exclude_duplicates:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +9,23 @@ from pyspark.sql import functions as F
 SPACE = r" \t\n\x0B\f\r"
 
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_TOKEN = rf"(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]*+(\p{{L}}++)[^\p{{L}}\p{{N}}{SPACE}]*+(?![^{SPACE}])"
 
 # The sentence that exported chats put before described files, and the label of a file.
 BOILERPLATE = "This message contains files. If the description for a file does not make sense, ignore it.Here are descriptions of those files:\nDescription for file 1:"
 FILE_LABEL = r"Description for file \p{Nd}+:"
 
+# Spark's default English stop words, here so that SQL can be written without a session.
+ENGLISH_STOPS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because
+as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further
+then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don
+should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've isn't
+aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's
+ought that's there's what's when's where's who's why's would
+""".split()
+
 # Names and noise of the corpora, beside the English stop words.
 EXTRA_STOPS = ("cindy", "jenkins", "enron", "u")
 
@@ -44,6 +55,21 @@ def tokens(messages: DataFrame, body: str = "body", lemma: bool = False, stops:
     return rows if stops is None else rows.where(~F.col("tok").isin(stops))
 
 
+def token_array(body: Column) -> Column:
+    """The same tokens in order, as an array: one pass over the text, no explode."""
+    return F.regexp_extract_all(F.lower(body), F.lit(_TOKEN), 1)
+
+
+def processed(body: Column, stops: list[str] | None = None, lemma: bool = True) -> Column:
+    """The text that the detectors stream: its tokens, lemmatised, without stop words, joined by a space; empty if none is left."""
+    toks = token_array(body)
+    if lemma:
+        toks = F.transform(toks, singular)
+    if stops is not None:
+        toks = F.filter(toks, lambda t: ~t.isin(stops))
+    return F.array_join(toks, " ")
+
+
 def singular(tok: Column) -> Column:
     """The rule lemmatiser: plural endings of English nouns. Words of up to three letters, and in -ss, -us or -is, stay."""
     return (
@@ -57,7 +83,7 @@ def singular(tok: Column) -> Column:
 
 def stop_words(extended: bool = True) -> list[str]:
     """English stop words, with the extras if extended."""
-    return sorted({*StopWordsRemover.loadDefaultStopWords("english"), *(EXTRA_STOPS if extended else ())})
+    return sorted({*ENGLISH_STOPS, *(EXTRA_STOPS if extended else ())})
 
 
 def joined(toks: DataFrame) -> DataFrame:
@@ -66,10 +92,21 @@ def joined(toks: DataFrame) -> DataFrame:
 
 
 def shingles(toks: DataFrame, k: int = 3) -> DataFrame:
-    """Word k-grams, repeats kept: seq, pos, g. k = 1 gives the tokens; messages of fewer than k tokens give none."""
+    """Word k-grams, repeats kept: seq, pos, g. k = 1 gives the tokens; messages of fewer than k tokens give none. `gram_rows` has them without places, and
+    without a sort."""
     if k <= 1:
         return toks.select("seq", "pos", F.col("tok").alias("g"))
     order = Window.partitionBy("seq").orderBy("pos")
     nexts = [F.lead("tok", i).over(order).alias(f"t{i}") for i in range(1, k)]
     rows = toks.select("seq", "pos", "tok", *nexts).where(F.col(f"t{k - 1}").isNotNull())
     return rows.select("seq", "pos", F.concat_ws(" ", "tok", *(f"t{i}" for i in range(1, k))).alias("g"))
+
+
+def gram_rows(messages: DataFrame, k: int = 3) -> DataFrame:
+    """messages: seq, body. Returns seq, g of every word k-gram, repeats kept. A message's k-grams come from its own token array, shifted k - 1 times and
+    zipped: nothing is shuffled or sorted."""
+    k = max(k, 1)
+    toks = messages.select("seq", token_array(F.col("body")).alias("t0")).where(F.size("t0") >= k)
+    shifted = toks.select("seq", "t0", *(F.slice("t0", i + 1, F.size("t0")).alias(f"t{i}") for i in range(1, k)))
+    rows = shifted.select("seq", F.inline(F.arrays_zip(*(f"t{i}" for i in range(k)))))
+    return rows.where(F.col(f"t{k - 1}").isNotNull()).select("seq", F.concat_ws(" ", *(f"t{i}" for i in range(k))).alias("g"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Burst, CountMin
 from tidemark.operators.frequency import cells_of
+from tidemark.operators.sequence import running
 from tidemark.plans.storage import hinted
 
 
@@ -43,8 +44,7 @@ def bin_events(messages_tokens: DataFrame, config: CountMin) -> DataFrame:
 def running_estimates(messages_tokens: DataFrame, config: CountMin) -> DataFrame:
     """seq, tok, pos, bin, r, est: each token's estimate at the end of its message, for each of its cells."""
     cells = cells_of(messages_tokens, config)
-    upto = Window.partitionBy("r", "c").orderBy("seq")
-    grown = cells.groupBy("r", "c", "seq").agg(F.sum("n").alias("n")).withColumn("v", F.sum("n").over(upto)).drop("n")
+    grown = running(cells.groupBy("r", "c", "seq").agg(F.sum("n").alias("n")), "n", "v", ("r", "c")).drop("n")
     own = cells.join(grown, ["r", "c", "seq"])
     est = own.groupBy("seq", "tok").agg(F.min("v").alias("est"))
     return own.join(est, ["seq", "tok"]).select("seq", "tok", "pos", F.col("c").alias("bin"), "r", "est")
@@ -67,8 +67,7 @@ def bins_at(messages_tokens: DataFrame, times: DataFrame, sketch: CountMin, conf
     seen = running_estimates(messages_tokens, sketch).groupBy("bin", "seq").agg(_best().alias("b"))
     probes = bursts.select("bin", F.col("t").alias("seq"), F.lit(None).cast(seen.schema["b"].dataType).alias("b"), "t", "recent_count", "prev_count", "ratio")
     both = probes.unionByName(seen, allowMissingColumns=True)
-    upto = Window.partitionBy("bin").orderBy("seq")  # peers included: the message at t counts
-    named = both.withColumn("best", F.max("b").over(upto)).where("t IS NOT NULL")
+    named = running(both, "b", "best", ("bin",), "max").where("t IS NOT NULL")  # peers included: the message at t counts
     return named.select("t", "bin", "recent_count", "prev_count", "ratio", F.col("best.tok").alias("representative"))
 
 

@@ -7,7 +7,8 @@ that isn't: never too few, and at most one merged bucket too many.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,11 +52,11 @@ class Histogram:
         return total
 
 
-def bursts(events: DataFrame, times: list[int], config: Burst) -> DataFrame:
-    """events: seq, bin, n. Returns t, bin, recent_count, prev_count, ratio of the bins that burst by histogram counts.
+def bursts(events: DataFrame, times: Sequence[int], config: Burst, segment: int = 1 << 16) -> DataFrame:
+    """events: seq, bin, n. times: rising (a range will do). Returns t, bin, recent_count, prev_count, ratio of the bins that burst by histogram counts.
 
-    Bins are streamed in order through sorted partitions, each with one histogram of state, however many events a bin has."""
-    times = sorted(times)
+    A bin is cut into segments of sequence numbers. Each begins with the window's length of messages before it, since what left the window doesn't count,
+    so a segment's histogram keeps the same bounds, and no bin is a single task's work. A bin without events in the window isn't looked at."""
 
     def judged(bin_: int, h: Histogram, t: int) -> list[tuple]:
         recent = h.count(t, config.half)
@@ -63,27 +64,42 @@ def bursts(events: DataFrame, times: list[int], config: Burst) -> DataFrame:
         ratio = (recent + config.epsilon) / (prev + config.epsilon)
         return [(t, bin_, recent, prev, ratio)] if recent >= config.min_count and ratio >= config.threshold else []
 
+    class Lane:
+        """The histogram of one bin in one segment, and the times that it is asked at."""
+
+        def __init__(self, bin_: int, part: int):
+            self.bin, self.part, self.h = bin_, part, Histogram(config.window)
+            self.k, self.end = bisect_left(times, part * segment), bisect_left(times, (part + 1) * segment)
+
+        def ask(self, before: int) -> list[tuple]:
+            out = []
+            while self.k < self.end and times[self.k] < before:
+                if not self.h.buckets:  # nothing until the next event
+                    self.k = bisect_left(times, before, self.k, self.end)
+                    break
+                out += judged(self.bin, self.h, times[self.k])
+                self.k += 1
+            return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, h, k = None, None, 0
-        names = ["t", "bin", "recent_count", "prev_count", "ratio"]
+        lane, names = None, ["t", "bin", "recent_count", "prev_count", "ratio"]
         for frame in frames:
             out = []
-            for seq, bin_, n in frame.itertuples(index=False):
-                if bin_ != now:
-                    if h is not None:
-                        out += [x for t in times[k:] for x in judged(now, h, t)]
-                    now, h, k = bin_, Histogram(config.window), 0
-                while k < len(times) and times[k] < seq:
-                    out += judged(bin_, h, times[k])
-                    k += 1
+            for seq, bin_, n, part in frame.itertuples(index=False):
+                if lane is None or (bin_, part) != (lane.bin, lane.part):
+                    out += lane.ask((lane.part + 1) * segment) if lane else []
+                    lane = Lane(bin_, part)
+                out += lane.ask(seq)
                 for _ in range(n):
-                    h.add(seq)
+                    lane.h.add(seq)
             if out:
                 yield pd.DataFrame(out, columns=names)
-        if h is not None:
-            out = [x for t in times[k:] for x in judged(now, h, t)]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    rows = events.select("seq", "bin", "n").repartition("bin").sortWithinPartitions("bin", "seq")
-    return rows.mapInPandas(run, "t long, bin int, recent_count long, prev_count long, ratio double")
+        out = lane.ask((lane.part + 1) * segment) if lane else []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    segment = max(segment, config.window)
+    part = F.floor(F.col("seq") / segment)
+    late = F.pmod("seq", F.lit(segment)) >= segment - config.window
+    rows = events.select("seq", "bin", "n", F.explode(F.when(late, F.array(part, part + 1)).otherwise(F.array(part))).alias("part"))
+    return rows.repartition("bin", "part").sortWithinPartitions("bin", "part", "seq").mapInPandas(run, "t long, bin int, recent_count long, prev_count long, ratio double")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import CountMin
 from tidemark.functions.hashing import cms_cells_of
+from tidemark.operators.sequence import running
+from tidemark.plans.storage import written
 
 
 def counts(toks: DataFrame) -> DataFrame:
@@ -65,13 +67,65 @@ def top(rows: DataFrame, by: str, n: int) -> DataFrame:
     return best.withColumn("rk", F.row_number().over(Window.orderBy(F.col(by).desc(), "tok")).cast("long"))
 
 
+def sketched(keys: DataFrame, rows: DataFrame, config: CountMin) -> DataFrame:
+    """keys: tok. rows: tok, n. Returns keys with est through the sketch of rows."""
+    return cms_estimate(keys, cms_add(rows, config), config)
+
+
+def counted(keys: DataFrame, rows: DataFrame, config: CountMin) -> DataFrame:
+    """The same, exactly: an unseen key has 0."""
+    n = rows.groupBy("tok").agg(F.sum("n").alias("est"))
+    return keys.join(n, "tok", "left").na.fill(0, ["est"])
+
+
+# Reports at every snapshot. A row per term and snapshot would be far more than the few per snapshot that are asked for, so snapshots 1, 2, 3-4, 5-8, ...
+# are taken as ranges: a term's number only grows, so in a range only terms can be on top that reach, at its end, what the last of the top had at its start.
+
+_STRIDE = 4096
+
+
+def _range_of(i: Column) -> Column:
+    """0 for snapshot 1, then the j for which 2**(j-1) < i <= 2**j."""
+    return F.when(i <= 1, 0).otherwise(F.length(F.bin(i - 1))).cast("int")
+
+
+def ends(changes: DataFrame, keys: list[str], last: int) -> DataFrame:
+    """changes: keys, i, k. Returns keys, j, v: the sum of k up to the end of range j, for every range from a key's first on; at most 64 a key."""
+    per = changes.groupBy(*keys, _range_of(F.col("i")).alias("j")).agg(F.sum("k").alias("k"))
+    order = Window.partitionBy(*keys).orderBy("j")
+    runs = per.select(*keys, "j", F.sum("k").over(order).alias("v"), F.lead("j").over(order).alias("nxt"))
+    final = max(last - 1, 0).bit_length()
+    return runs.select(*keys, "v", F.explode(F.sequence("j", F.coalesce(F.col("nxt") - 1, F.lit(final)))).alias("j"))
+
+
+def contenders(at_ends: DataFrame, n: int) -> DataFrame:
+    """at_ends: tok, j, v. Returns tok, j of the terms that may be among the n greatest somewhere in range j."""
+    rank = F.row_number().over(Window.partitionBy("j").orderBy(F.col("v").desc(), "tok"))
+    least = at_ends.withColumn("rk", rank).where(F.col("rk") <= n).groupBy((F.col("j") + 1).alias("j")).agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("many"))
+    reached = at_ends.join(F.broadcast(least.where(F.col("many") >= n)), "j", "left")  # 64 ranges at most
+    return reached.where(F.col("v") >= F.coalesce("least", F.lit(0))).select("tok", "j")
+
+
+def dense(wanted: DataFrame, changes: DataFrame, at_ends: DataFrame, keys: list[str], last: int) -> DataFrame:
+    """wanted: keys, j. Returns keys, j, seq, v: the running sum at each snapshot of range j."""
+    base = at_ends.select(*keys, (F.col("j") + 1).alias("j"), F.col("v").alias("base"))
+    power = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+    first = F.when(F.col("j") == 0, F.lit(1).cast("long")).otherwise(power(F.col("j") - 1) + 1)
+    end = F.least(power(F.col("j")), F.lit(last).cast("long"))
+    rows = wanted.join(base, [*keys, "j"], "left").select(*keys, "j", "base", first.alias("first"), end.alias("end")).where("first <= end")
+    rows = rows.select("*", F.explode(F.sequence(F.floor(F.col("first") / _STRIDE), F.floor(F.col("end") / _STRIDE))).alias("part"))
+    low, high = F.greatest("first", F.col("part") * _STRIDE), F.least("end", F.col("part") * _STRIDE + _STRIDE - 1)
+    rows = rows.select(*keys, "j", "base", "first", F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("i")).join(changes, [*keys, "i"], "left")
+    step = F.coalesce("k", F.lit(0)) + F.when(F.col("i") == F.col("first"), F.coalesce("base", F.lit(0))).otherwise(0)
+    return running(rows.select(*keys, "j", F.col("i").alias("seq"), step.alias("step")), "step", "v", (*keys, "j")).drop("step")
+
+
 def top_at_snapshots(toks: DataFrame, interval: int, n: int) -> DataFrame:
-    """The n most frequent tokens up to every snapshot: t, tok, n, rk. A token's count changes only where it occurs, so it is summed there and carried on to its next change."""
-    per = toks.groupBy(F.ceil(F.col("seq") / interval).alias("i"), "tok").agg(F.count(F.lit(1)).alias("k"))
-    last = F.lit(toks.agg(F.floor(F.coalesce(F.max("seq"), F.lit(0)) / interval).alias("last")).first().last)
-    order = Window.partitionBy("tok").orderBy("i")
-    runs = per.select("tok", "i", F.sum("k").over(order).alias("n"), F.lead("i").over(order).alias("nxt"))
-    until = F.least(F.coalesce(F.col("nxt") - 1, last), last)
-    at = runs.withColumn("until", until).where("until >= i").select("tok", "n", F.explode(F.sequence("i", "until")).alias("i"))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("n").desc(), "tok"))
-    return at.withColumn("rk", rank.cast("long")).where(F.col("rk") <= n).select((F.col("i") * interval).alias("t"), "tok", "n", "rk")
+    """The n most frequent tokens up to every snapshot: t, tok, n, rk."""
+    per = written(toks.groupBy(F.ceil(F.col("seq") / interval).alias("i"), "tok").agg(F.count(F.lit(1)).alias("k")), "intervals")
+    last = toks.agg(F.floor(F.coalesce(F.max("seq"), F.lit(0)) / interval).alias("last")).first().last
+    per = per.where(F.col("i") <= last)
+    at_ends = ends(per, ["tok"], last)
+    at = dense(contenders(at_ends, n), per, at_ends, ["tok"], last).where("v > 0")
+    rank = F.row_number().over(Window.partitionBy("seq").orderBy(F.col("v").desc(), "tok"))
+    return at.withColumn("rk", rank.cast("long")).where(F.col("rk") <= n).select((F.col("seq") * interval).alias("t"), "tok", F.col("v").alias("n"), "rk")

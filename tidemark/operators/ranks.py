@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.storage import written
+
 #: Ranks beyond this one aren't drawn.
 DRAWN = 10
 
@@ -21,8 +23,19 @@ def terms(top: DataFrame) -> DataFrame:
     return top.groupBy("t", "term").agg(F.max_by("ratio", "place").alias("ratio"), F.min("place").alias("place"))
 
 
+def outer(per_term: DataFrame, interval: int) -> DataFrame:
+    """The full outer join of all snapshots on the term, in long form: t, term, ratio; null where the term is absent. Rows are terms times snapshots, as
+    they are what the join means; `terms` has those that aren't null."""
+    per_term = written(per_term, "terms")
+    ends = per_term.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    if ends.a is None:
+        return per_term.select("t", "term", "ratio")
+    every = per_term.select("term").distinct().select("term", F.explode(F.sequence(F.lit(ends.a), F.lit(ends.b), F.lit(interval).cast("long"))).alias("t"))
+    return every.join(per_term.select("t", "term", "ratio"), ["t", "term"], "left").select("t", "term", "ratio")
+
+
 def wide(per_term: DataFrame, times: list[int]) -> DataFrame:
-    """A row per term, a column t_<time> per snapshot; null where it is absent."""
+    """A row per term, a column t_<time> per snapshot; null where it is absent. For a list of times that is known."""
     return per_term.groupBy("term").pivot("t", times).agg(F.first("ratio")).select("term", *(F.col(str(t)).alias(f"t_{t}") for t in times))
 
 

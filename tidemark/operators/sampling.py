@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequence import sequenced
+
 
 def draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
@@ -32,7 +36,7 @@ def row_split(rows: DataFrame, key: str, test_size: float = 0.2, val_size: float
 
 
 def split_files(files: DataFrame, name: str, train_ratio: float = 0.7, seed: int = 42) -> DataFrame:
-    """Adds split: train for the first int(n x ratio) names by digest, test for the others. Exact counts; nothing is moved. Names only, so one sort suffices."""
-    order, every = Window.orderBy(draw(F.col(name), seed), name), Window.partitionBy()
-    n = F.floor(F.count(F.lit(1)).over(every) * train_ratio)
-    return files.withColumn("split", F.when(F.row_number().over(order) <= n, "train").otherwise("test"))
+    """Adds split: train for the first int(n x ratio) names by digest, test for the others. Exact counts; nothing is moved."""
+    drawn = sequenced(files.withColumn("__draw", draw(F.col(name), seed)), ["__draw", name])
+    n = math.floor(files.count() * train_ratio)
+    return drawn.withColumn("split", F.when(F.col("seq") <= n, "train").otherwise("test")).select(*files.columns, "split")

@@ -104,9 +104,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return X.tokens(_messages(spark, d))
 
 
-def _doc_messages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = S.messages_from_documents(spark, d)
-    return m, X.tokens(m)
+def _doc_messages(spark: SparkSession, d: str) -> DataFrame:
+    return S.messages_from_documents(spark, d)
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -174,13 +173,26 @@ def tokens(spark, d):
     return _tokens(spark, d)
 
 
-@query(f"{_BASE}, s AS (SELECT unnest([" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({"the", "of", "and", "to", "in", "is", "that", "it", *X.EXTRA_STOPS})) + "]) AS w) SELECT seq, pos, tok FROM tk WHERE tok NOT IN (SELECT w FROM s)")
+_STOPS = "s AS (SELECT unnest([" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.stop_words()) + "]) AS w)"
+
+
+@query(f"{_BASE}, {_STOPS} SELECT seq, pos, tok FROM tk WHERE tok NOT IN (SELECT w FROM s)")
 def stopwords(spark, d):
-    return X.tokens(_messages(spark, d), stops=sorted({"the", "of", "and", "to", "in", "is", "that", "it", *X.EXTRA_STOPS}))
+    return X.tokens(_messages(spark, d), stops=X.stop_words())
+
+
+_LEMMA = r"""CASE WHEN length(tok) <= 3 OR regexp_matches(tok, '(ss|us|is)$') THEN tok WHEN regexp_matches(tok, '[^aeiou]ies$') THEN regexp_replace(tok, 'ies$', 'y')
+  WHEN regexp_matches(tok, '(x|ch|sh|ss|z)es$') THEN regexp_replace(tok, 'es$', '') WHEN regexp_matches(tok, 's$') THEN regexp_replace(tok, 's$', '') ELSE tok END"""
+
+
+@query(f"""{_BASE}, {_STOPS}, l AS (SELECT seq, pos, {_LEMMA} AS lemma FROM tk), p AS (SELECT seq, string_agg(lemma, ' ' ORDER BY pos) AS body FROM l WHERE lemma NOT IN (SELECT w FROM s) GROUP BY seq)
+SELECT conv_id, turn, m.body AS raw_body, p.body AS body FROM m JOIN p USING (seq)""")
+def processed(spark, d):
+    rows = S.conversations_table(spark, d).where("role = 'user'").select("conv_id", "turn", F.col("text").alias("raw_body"))
+    return rows.withColumn("body", X.processed(F.col("raw_body"), X.stop_words())).where("body <> ''")
 
 
-@query(_BASE + r"""SELECT tok, CASE WHEN length(tok) <= 3 OR regexp_matches(tok, '(ss|us|is)$') THEN tok WHEN regexp_matches(tok, '[^aeiou]ies$') THEN regexp_replace(tok, 'ies$', 'y')
-  WHEN regexp_matches(tok, '(x|ch|sh|ss|z)es$') THEN regexp_replace(tok, 'es$', '') WHEN regexp_matches(tok, 's$') THEN regexp_replace(tok, 's$', '') ELSE tok END AS lemma FROM (SELECT DISTINCT tok FROM tk)""".replace("SELECT tok,", " SELECT tok,", 1))
+@query(f"{_BASE} SELECT DISTINCT tok, {_LEMMA} AS lemma FROM tk")
 def lemma_rules(spark, d):
     return _tokens(spark, d).select("tok").distinct().select("tok", X.singular(F.col("tok")).alias("lemma"))
 
@@ -267,7 +279,7 @@ def bin_representative(spark, d):
 
 @query(f"{_BASE_D}, {_HITS}, {_SCORE} SELECT * FROM sc")
 def dup_exact(spark, d):
-    return duplicates.exact(*_doc_messages(spark, d), DUP)
+    return duplicates.exact(_doc_messages(spark, d), DUP)
 
 
 def _bits(key: str) -> str:
@@ -280,13 +292,13 @@ _BLOOM = f"""gb AS (SELECT seq, g, n, {_bits('g')} AS b FROM gs, range({DUP.bloo
 
 @query(f"{_BASE_D}, {_BLOOM}, hits AS (SELECT seq, n, hit FROM (SELECT gb.seq, g, n, bool_and(f < gb.seq) AS hit FROM gb JOIN bf USING (b) GROUP BY gb.seq, g, n)), {_SCORE} SELECT * FROM sc")
 def dup_bloom(spark, d):
-    return duplicates.through_bloom(*_doc_messages(spark, d), DUP)
+    return duplicates.through_bloom(_doc_messages(spark, d), DUP)
 
 
 @query(f"""{_BASE_D}, {_BLOOM}, w AS (SELECT f AS seq, count(*) AS k FROM bf GROUP BY f)
 SELECT m.seq, CAST(sum(coalesce(k, 0)) OVER (ORDER BY m.seq) AS DOUBLE) / {DUP.bloom.bits}::DOUBLE AS fill_ratio FROM m LEFT JOIN w USING (seq)""")
 def bloom_fill(spark, d):
-    return duplicates.fill_ratio(*_doc_messages(spark, d), DUP)
+    return duplicates.fill_ratio(_doc_messages(spark, d), DUP)
 
 
 @query(f"""{_BASE_D}, b AS (SELECT item_id AS seq, text AS body FROM benchmark), {_tok('b', 'tb')}, {_gram('tb', 'gq')}, fb AS (SELECT DISTINCT {_bits('g')} AS b FROM (SELECT DISTINCT g FROM gq), range({DUP.bloom.hashes}) t(i)),
@@ -294,8 +306,7 @@ p AS (SELECT g, count(x.b) = count(*) AS hit FROM (SELECT DISTINCT g, {_bits('g'
 SELECT seq, CAST(sum(n) AS BIGINT) AS n_shingles, CAST(sum(CASE WHEN hit THEN n ELSE 0 END) AS BIGINT) AS n_hits FROM gs JOIN p USING (g) GROUP BY seq""")
 def bloom_membership(spark, d):
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("seq"), F.col("text").alias("body"))
-    _, toks = _doc_messages(spark, d)
-    return duplicates.membership(X.shingles(X.tokens(items)), duplicates.grams(toks, DUP.shingle), DUP.bloom)
+    return duplicates.membership(items, _doc_messages(spark, d), DUP)
 
 
 _SUMMARY = "CAST(count(*) FILTER ({k}) AS BIGINT) AS processed, CAST(count(*) FILTER (NOT {k}) AS BIGINT) AS excluded, CAST(count(*) FILTER ({k} AND is_duplicate) AS BIGINT) AS total"
@@ -304,16 +315,15 @@ _SUMMARY = "CAST(count(*) FILTER ({k}) AS BIGINT) AS processed, CAST(count(*) FI
 @query(f"""{_BASE_D}, {_HITS}, {_SCORE}, s AS (SELECT {_SUMMARY.format(k='true')}, sum(duplicate_score) AS q FROM sc)
 SELECT processed, excluded, total, CAST(total AS DOUBLE) / processed AS rate, CAST(round(q / processed * 1e6::DOUBLE) AS BIGINT) AS avg_score_e6 FROM s""")
 def dup_summary(spark, d):
-    scored = duplicates.exact(*_doc_messages(spark, d), DUP)
+    scored = duplicates.exact(_doc_messages(spark, d), DUP)
     return duplicates.summary(scored).select("processed", "excluded", "total", "rate", F.round(F.col("avg_score") * 1e6).cast("long").alias("avg_score_e6"))
 
 
 @query(f"{_BASE_D}, {_HITS}, {_SCORE} SELECT tok, CAST(count(*) AS BIGINT) AS n FROM tk JOIN sc USING (seq) WHERE NOT is_duplicate GROUP BY tok")
 def freq_excluding_dups(spark, d):
-    m, toks = _doc_messages(spark, d)
-    toks = written(toks, "tokens")
-    shown = duplicates.exact(m, toks, DUP).where("NOT is_duplicate").select("seq")
-    return frequency.counts(toks.join(shown, "seq", "left_semi"))
+    m = _doc_messages(spark, d)
+    shown = duplicates.exact(m, DUP).where("NOT is_duplicate").select("seq")
+    return frequency.counts(m.join(shown, "seq", "left_semi").select(F.explode(X.token_array(F.col("body"))).alias("tok")))
 
 
 @query(f"{_BASE_D}, {_HITS}, {_SCORE} SELECT m.seq, body, is_duplicate, duplicate_score FROM m JOIN sc USING (seq)")
@@ -351,8 +361,8 @@ def _bursts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def burst_dgim(spark, d):
     m = _messages(spark, d)
-    times = [r.seq for r in m.where(F.col("seq") % INTERVAL == 0).select("seq").collect()]
-    return dgim.bursts(burst.bin_events(burst.per_message(X.tokens(m)), CMS), times, BURST)
+    last = m.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")).first().last
+    return dgim.bursts(burst.bin_events(burst.per_message(X.tokens(m)), CMS), range(INTERVAL, last + 1, INTERVAL), BURST)
 
 
 @query(f"""{_BASE_C}, {_TIMES}, {_BURSTS}, k AS (SELECT t, tok, count(*) AS n FROM tk JOIN ts ON seq <= t GROUP BY t, tok), b AS (SELECT t, count(*) AS n_bursts FROM bf GROUP BY t),
@@ -398,12 +408,10 @@ def bump_terms(spark, d):
     return ranks.terms(_top(spark, d))
 
 
-_WIDE = [INTERVAL * i for i in range(1, 7)]
-
-
-@query(f"{_BUMP} SELECT term, " + ", ".join(f"max(ratio) FILTER (t = {t}) AS t_{t}" for t in _WIDE) + " FROM tm GROUP BY term")
+@query(f"{_BUMP} SELECT b.t, a.term, c.ratio FROM (SELECT DISTINCT term FROM tm) a CROSS JOIN (SELECT unnest(range(min(t), max(t) + 1, {INTERVAL})) AS t FROM tm) b LEFT JOIN tm c ON c.term = a.term AND c.t = b.t")
 def bump_wide(spark, d):
-    return ranks.wide(ranks.terms(_top(spark, d)), _WIDE)
+    """The outer join over all snapshots in long form: a row per term and snapshot, the ratio null where the term is absent."""
+    return ranks.outer(ranks.terms(_top(spark, d)), INTERVAL)
 
 
 @query(f"{_BUMP} SELECT * FROM rk")
@@ -440,6 +448,14 @@ def time_windows(spark, d):
     return e.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@query("e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type FROM events) SELECT strftime(start, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL")
+def stream_time_windows(spark, d):
+    table = spark.read.parquet(f"{d}/events.parquet")
+    events = spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]")
+    out = MessageStream(spark, RUN, []).play_over_time(events, "ts", "event_type", "1 day", "1 hour")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 @query(f"{_BASE} SELECT tok, CAST(count(*) AS BIGINT) AS n FROM tk GROUP BY tok")
 def stream_freq(spark, d):
     return _stream(spark, d).frequencies()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators.sequence import sequenced
-from tidemark.plans.storage import scratch
+from tidemark.plans.storage import scratch, written
 
 #: Unknown keys of the files are dropped.
 SCHEMA = "messages array<struct<body:string,time:double,medium:string,is_inbound:boolean>>"
@@ -21,12 +21,16 @@ EXCLUDED_MEDIA = ("Instagram", "Telegram")
 
 
 def read_files(spark: SparkSession, data_dir: str, splits: dict[str, str] | None = None) -> DataFrame:
-    """Every .json file below each split's folder, one conversation each: conv_id (its path), split, messages. Missing messages are an empty list."""
-    out = None
+    """Every .json file below each split's folder, one conversation each: conv_id (its path), split, messages. Missing messages are an empty list, and a
+    missing folder has no conversations."""
+    out = spark.createDataFrame([], f"conv_id string, split string, {SCHEMA}")
     for split, folder in (splits or {"train": "train_convs", "test": "test_convs"}).items():
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{data_dir}/{folder}")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            continue
         files = spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{data_dir}/{folder}")
         rows = files.select(F.col("_metadata.file_path").alias("conv_id"), F.lit(split).alias("split"), F.coalesce("messages", F.array().cast("array<struct<body:string,time:double,medium:string,is_inbound:boolean>>")).alias("messages"))
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(rows)
     return out
 
 
@@ -40,14 +44,16 @@ def inbound(conversations: DataFrame) -> DataFrame:
     return conversations.withColumn("messages", F.filter("messages", lambda m: F.coalesce(m["is_inbound"], F.lit(False))))
 
 
-def flattened(conversations: DataFrame) -> DataFrame:
-    """A row per message: conv_id, split, turn, and the message's fields; scrubbed, with the scrubbed text kept as raw_body; null and empty bodies go."""
+def flattened(conversations: DataFrame, use_skipwords: bool | None = True) -> DataFrame:
+    """A row per message: conv_id, split, turn, and the message's fields. Null and empty bodies go; the scrubbed text is kept as raw_body, and body becomes
+    what is streamed: lemmatised tokens without stop words, with use_skipwords those of the corpora too. None leaves body scrubbed only."""
     rows = conversations.select("conv_id", "split", F.posexplode("messages").alias("turn", "m")).select("conv_id", "split", "turn", "m.*")
-    return rows.withColumn("body", X.scrub(F.col("body"))).where("body IS NOT NULL AND body <> ''").withColumn("raw_body", F.col("body"))
+    rows = rows.withColumn("raw_body", X.scrub(F.col("body"))).where("raw_body IS NOT NULL AND raw_body <> ''")
+    return rows.withColumn("body", F.col("raw_body") if use_skipwords is None else X.processed(F.col("raw_body"), X.stop_words(use_skipwords)))
 
 
 def stream(messages: DataFrame, limit: int | None = None) -> DataFrame:
-    """Messages that have tokens, numbered from 1 in order of time, missing time last, then conversation and turn."""
+    """Messages whose processed body has tokens, numbered from 1 in order of time, missing time last, then conversation and turn."""
     rows = messages.where(X.has_token(F.col("body")))
     return sequenced(rows, ["time", "conv_id", "turn"], limit)
 
@@ -79,6 +85,12 @@ class Loader(abc.ABC):
         return spark.read.parquet(path)
 
 
+    def messages(self, spark: SparkSession, split: str, limit: int | None = None, **how) -> DataFrame:
+        """The message stream of one split, processed as the loader says; empty for a split that isn't there."""
+        found = self.load(spark, **how)
+        return stream(flattened(found.where(F.col("split") == split), self.use_skipwords), limit)
+
+
 class ChatFiles(Loader):
     """Chat and e-mail conversations as JSON files in one folder per split."""
 
@@ -107,10 +119,12 @@ def load_all(spark: SparkSession, loaders: list[Loader], test_size: float = 0.2,
     return out
 
 
-def splits_of(found: dict[str, DataFrame], name: str) -> tuple[DataFrame | None, ...]:
-    """train, val, test of one data set; None for each if there's no such set."""
+def splits_of(found: dict[str, DataFrame], name: str) -> tuple[DataFrame, ...]:
+    """train, val, test of one data set; three empty results if there's no such set."""
     rows = found.get(name)
-    return tuple(None if rows is None else rows.where(F.col("split") == s) for s in ("train", "val", "test"))
+    if rows is None:
+        rows = SparkSession.active().createDataFrame([], f"conv_id string, split string, {SCHEMA}, label string, dataset string")
+    return tuple(rows.where(F.col("split") == s) for s in ("train", "val", "test"))
 
 
 def conversations_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +138,6 @@ def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as messages, in order of doc_id. seq, doc_id, body."""
+    """Documents as messages, in order of doc_id, numbered once: seq, doc_id, body."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
-    return sequenced(rows.where(X.has_token(F.col("body"))), ["doc_id"])
+    return written(sequenced(rows.where(X.has_token(F.col("body"))), ["doc_id"]), "messages")
