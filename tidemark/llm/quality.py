@@ -1,29 +1,28 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of words in trusted text.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The n-grams are runs of ORDER words in lower case (numbers, single signs, and single characters of scripts without spaces are words too), counted over all
-trusted documents; neither words nor n-grams are capped, so the counts grow with the text. They stay in tables by the 64-bit key of an n-gram. Below the
-highest order, counts are of different words to the left. What the words' own counts leave over is dealt out by spelling, under a Kneser-Ney model of
-four characters over 64 symbols: at most 64**4 = 16.8 million numbers, the only ones that are collected and broadcast.
+The n-grams are runs of ORDER characters of any script, white space being one space; neither characters nor n-grams are capped, so the counts grow with the
+text. They are counted over the trusted documents but those of a held-out fold (one in FOLDS). Below the highest order, counts are of different characters
+to the left; below the lowest, all characters seen and one for the unseen are alike.
 
-Documents are numbered and cut into chunks of CHUNK rows. Each chunk asks for its distinct keys, packed by shard; every shard of the counts answers with the
-keys it has; the answers go back to the chunk, where each document is scored. A trusted document is scored without its own counts, at all orders
-(leave-one-out), as if it hadn't been trained on; only the discounts and the number of all bigrams stay.
+Documents are judged by count joins that are sharded by n-gram: each batch of texts names its distinct n-grams, summed over all documents before anything
+is joined; these are joined with the counts of each order and of its contexts, from the lowest order up, which gives the probability of every n-gram that
+any document has. If these are at most BROADCAST, they are sent to the texts; else each document's n-grams go to the probabilities and are summed there.
 
-A document is kept if its perplexity is at most the QUANTILE of trusted documents of its language; quantiles come from counts of log-perplexity in steps
-of STEP, summed over all trusted documents. A language without trusted documents takes the quantile over all.
+A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language, which the model hasn't seen; quantiles
+come from counts of log-perplexity in steps of STEP, summed over all those documents. A language without any takes the quantile over all; without
+any in all, trusted documents that were trained on set it.
 
 Defined cases: a null text, or one of white space only, has no n-grams, no perplexity, and isn't kept; a null language is a language of its own; without
-trusted documents every document with n-grams is kept; repeated rows are judged each on their own; repeated labels count once.
+trusted documents every document with n-grams is kept; of documents as bad as the threshold all are kept; repeated rows are judged each on their own;
+repeated labels count once; other columns, whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
-from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,327 +30,211 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_map, others, small, table, written
 
-ORDER, SYMBOLS, QUANTILE, STEP = 4, 64, 0.995, 1e-3
-
-#: Words of an n-gram; rows of a chunk; keys of a shard at most, about.
-WORDS, CHUNK, SHARD = 3, 256, 400_000
-
-_BITS = 6
-#: Scripts without spaces between words.
-_SINGLE = r"\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
-_TOKEN = re.compile(rf"[{_SINGLE}]|[^\W\d_{_SINGLE}]+|\d+|[^\w\s]|_")
-
-
-def _alphabet() -> np.ndarray:
-    """By code point: 0 white space, 1-26 a-z, 27-58 the accented letters from U+00DF on, 59 other letters, 60 digits, 61 full stop and comma, 62 the rest."""
-    out = np.full(0x110000, 62, np.uint8)
-    for k in range(0x30000):
-        c = chr(k)
-        low = c.lower()[0]
-        if c.isspace():
-            out[k] = 0
-        elif "a" <= low <= "z":
-            out[k] = 1 + ord(low) - 97
-        elif c.isalpha():
-            out[k] = 27 + ord(low) - 0xDF if 0xDF <= ord(low) <= 0xFE else 59
-        elif c.isdigit():
-            out[k] = 60
-    out[[ord("."), ord(",")]] = 61
-    return out
-
-
-@lru_cache(maxsize=1)
-def alphabet() -> np.ndarray:
-    return _alphabet()
-
-
-def grams(text: str | None) -> np.ndarray:
-    """The n-grams of a whole text as numbers: one for each symbol after a lead of white space; runs of white space are one symbol."""
-    if not text:
-        return np.zeros(0, np.int32)
-    x = alphabet()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    keep = x != 0
-    if not keep.any():
-        return np.zeros(0, np.int32)
-    keep[1:] |= x[:-1] != 0
-    x = np.concatenate([np.zeros(ORDER - 1, np.int32), x[keep].astype(np.int32), np.zeros(1, np.int32)])
-    n = len(x) - ORDER + 1
-    out = x[:n].copy()
-    for k in range(1, ORDER):
-        out = (out << _BITS) | x[k : k + n]
-    return out
-
-
-def words(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+ORDER, QUANTILE, STEP, FOLDS = 5, 0.99, 1e-3, 5
+
+#: N-grams (12 bytes each) that are sent to every task at most.
+BROADCAST = 4_000_000
+
+_SLICE, _BLOCK = 1 << 20, 1 << 20
+#: A character is its code point plus 1 in 21 bits; the last three of an n-gram are in b, those before in a; 0 is none.
+_BITS, _SPACE = 21, 33
+_ONE, _TWO, _ALL = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1, (1 << 3 * _BITS) - 1
+_MASKS = {1: (0, _ONE), 2: (0, _TWO), 3: (0, _ALL), 4: (_ONE, _ALL), 5: (_TWO, _ALL), 6: (_ALL, _ALL)}
+_IS_SPACE = np.array([chr(k).isspace() for k in range(0x3002)])
+
+
+def symbols(text: str) -> Iterator[np.ndarray]:
+    """The characters of a whole text in slices, each led by the ORDER - 1 before it; spaces lead the first. White space at the start is dropped."""
+    tail, space = np.full(ORDER - 1, _SPACE, np.int64), True
+    for i in range(0, len(text), _SLICE):
+        x = np.frombuffer(text[i : i + _SLICE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        white = _IS_SPACE[np.minimum(x, 0x3001)]
+        keep = ~(white & np.concatenate([[space], white[:-1]]))
+        space = bool(white[-1])
+        out = np.concatenate([tail, np.where(white, _SPACE - 1, x)[keep] + 1])
+        tail = out[len(out) - ORDER + 1 :]
+        yield out
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits for each n-gram."""
+    h = (a.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29)) ^ b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The n-grams of all texts, a block at a time: a, b, and which text each belongs to. Texts without other characters than white space have none."""
+    held, owners, size = [], [], 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, lengths = np.concatenate(held), np.array([len(h) for h in held])
+        n = len(x) - ORDER + 1
+        a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(ORDER):
+            part = a if k < ORDER - 3 else b
+            part <<= _BITS
+            part |= x[k : k + n]
+        real = np.ones(len(x), bool)
+        starts = np.cumsum(lengths) - lengths
+        for k in range(ORDER - 1):
+            real[starts + k] = False
+        real = real[ORDER - 1 :]
+        return a[real], b[real], np.repeat(owners, lengths - ORDER + 1)
+
+    for i, text in enumerate(texts):
+        if not text or text.isspace():
+            continue
+        for x in symbols(text):
+            if len(x) >= ORDER:
+                held.append(x)
+                owners.append(i)
+                size += len(x)
+            if size >= _BLOCK:
+                yield flush()
+                held, owners, size = [], [], 0
+    if held:
+        yield flush()
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams as key and place of one of each, which of them each is, and how often they occur."""
+    codes, keys = pd.factorize(_key(a, b))
+    place = np.empty(len(keys), np.int64)
+    place[codes] = np.arange(len(codes))
+    return keys, place, codes, np.bincount(codes, minlength=len(keys))
 
 
-class _Hashes(dict):
-    """64-bit digests of words, kept while there are not too many."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        out = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return out
-
+def counts(texts: DataFrame) -> DataFrame:
+    """How often each n-gram of the highest order occurs in all texts: a, b, n."""
 
-_HASHES = _Hashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, _ in _blocks(batch.column(0).to_pylist()):
+                _, place, _, n = _distinct(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[place]), pa.array(b[place]), pa.array(n)], ["a", "b", "n"])
 
+    return arrow_map(texts.select("text"), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-def runs(found: list[str]) -> list[np.ndarray]:
-    """The n-grams that end at each word, as WORDS arrays of digests; the text is led by empty words."""
-    x = np.fromiter(map(_HASHES.__getitem__, ["", ""] + found), np.uint64, len(found) + WORDS - 1)
-    return [x[k : k + len(found)] for k in range(WORDS)]
 
+def _suffix(order: int) -> tuple[Column, Column]:
+    return tuple(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in zip(("a", "b"), _MASKS[order], strict=True))
 
-def keys(*parts: np.ndarray) -> np.ndarray:
-    """One number for each n-gram of one word or more."""
-    out = np.full(len(parts[0]), len(parts), np.uint64)
-    for x in parts:
-        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
 
+def _context() -> tuple[Column, Column]:
+    """An n-gram without its last character."""
+    last = F.shiftleft(F.col("a").bitwiseAND(F.lit(_ONE).cast("long")), 2 * _BITS)
+    return F.shiftright("a", _BITS), F.shiftright("b", _BITS).bitwiseOR(last)
 
-def counts(texts: DataFrame) -> DataFrame:
-    """How often each n-gram occurs in all texts: level (0 for those of characters, else of words), a, b, c, n. Those of characters are in c."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            parts = [np.zeros(0, np.int32), *(grams(x) for x in texts)]
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
-            each = [runs(words(x)) for x in texts]
-            abc = np.stack([np.concatenate([np.zeros(0, np.uint64), *(e[k] for e in each)]) for k in range(WORDS)])
-            _, first, m = np.unique(keys(*abc), return_index=True, return_counts=True)
-            abc, none = abc[:, first].view(np.int64), np.zeros(len(g), np.int64)
-            level = np.repeat(np.array([0, WORDS], np.int8), [len(g), len(m)])
-            cols = [np.concatenate(x) for x in ((none, abc[0]), (none, abc[1]), (g.astype(np.int64), abc[2]), (n, m))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level, *cols)], ["level", "a", "b", "c", "n"])
-
-    return arrow_map(texts.select("text"), run, "level byte, a long, b long, c long, n long").groupBy("level", "a", "b", "c").agg(F.sum("n").alias("n"))
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """D for counts 0, 1, 2, 3 and more, from the counts of counts; where these are lacking, from the nearest that isn't."""
-    return _discounts_of(*((n == k).sum() for k in (1, 2, 3, 4)))
-
-
-def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    d = [0.0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y]
-    return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d[1:], 1))])
-
-
-def _order(gram: np.ndarray, n: np.ndarray, lower: np.ndarray, contexts: int) -> np.ndarray:
-    """Probabilities by n-gram, dense: those seen, over the lower order by the weight that discounting frees in each context."""
-    d = _discounts(n)[np.minimum(n, 3)]
-    context = gram >> _BITS
-    total = np.bincount(context, n, contexts)
-    freed = np.bincount(context, d, contexts)
-    weight = np.divide(freed, total, out=np.ones(contexts), where=total > 0)
-    p = (weight[:, None] * np.tile(lower.reshape(-1, SYMBOLS), (contexts * SYMBOLS // len(lower), 1))).ravel()
-    p[gram] += (n - d) / total[context]
-    return p
-
-
-def log_probabilities(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Natural logarithms by n-gram, dense, of the model with these counts; below the highest order, counts are of different symbols to the left."""
-    tables = [(gram.astype(np.int64), n)]
-    for k in range(ORDER - 1, 0, -1):
-        g, left = np.unique(tables[0][0] & ((1 << _BITS * k) - 1), return_counts=True)
-        tables.insert(0, (g, left))
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for k, (g, c) in enumerate(tables):
-        p = _order(g, c, p, SYMBOLS**k)
-    return np.log(p).astype(np.float32)
-
-
-@lru_cache(maxsize=1)
-def _dense(gram: bytes, n: bytes) -> np.ndarray:
-    """One per Python worker."""
-    return log_probabilities(np.frombuffer(gram, np.int32), np.frombuffer(n, np.int64))
-
-
-class Scorer:
-    """Logarithms of documents' probabilities, from the counts of their n-grams."""
-
-    def __init__(self, spelling: np.ndarray, discounts: list[np.ndarray], total: int, freed: float):
-        self.spelling, self.discounts, self.total, self.freed = spelling, discounts, total, freed
-        sizes = np.bincount(alphabet(), minlength=SYMBOLS)
-        self.within = np.where(np.arange(SYMBOLS) > 58, np.log(np.maximum(sizes, 1)), 0)
-        self.spelled: dict[str, float] = {}
-
-    def _spelled(self, word: str) -> float:
-        if word not in self.spelled:
-            if len(self.spelled) > 1 << 19:
-                self.spelled.clear()
-            g = grams(word)
-            self.spelled[word] = float(self.spelling[g].sum(dtype=np.float64) - self.within[g & (SYMBOLS - 1)].sum())
-        return self.spelled[word]
-
-    def perplexity(self, text: str | None, known: np.ndarray, values: np.ndarray, own: bool) -> float | None:
-        """Per symbol. known: keys in rising order; values: their count, and the total and the freed weight after them. own: whether the text was counted."""
-        found = words(text)
-        if not found:
-            return None
-        a, b, c = runs(found)
-
-        def look(key: np.ndarray) -> np.ndarray:
-            if not len(known):
-                return np.zeros((len(key), 3))
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            return np.where((known[at] == key)[:, None], values[at], 0.0)
-
-        p = np.exp(np.array([self._spelled(w) for w in found]))
-        levels = [((c,), ()), ((b, c), (b,)), ((a, b, c), (a, b))]
-        n, total, freed = [], [], []
-        for gram, context in levels:
-            n.append(look(keys(*gram))[:, 0])
-            after = look(keys(*context))[:, 1:] if context else np.tile([float(self.total), self.freed], (len(found), 1))
-            total.append(after[:, 0])
-            freed.append(after[:, 1])
-        if own:
-            self._without(levels, n, total, freed)
-        for k, d in enumerate(self.discounts):
-            weight = np.divide(freed[k], total[k], out=np.ones(len(found)), where=total[k] > 0.5)
-            rest = np.maximum(n[k] - d[np.minimum(n[k], 3).astype(int)], 0)
-            p = np.divide(rest, total[k], out=np.zeros(len(found)), where=total[k] > 0.5) + weight * p
-        log_p = np.log(np.maximum(p, 1e-300)).sum()
-        return float(np.exp(-log_p / sum(len(w) + 1 for w in found)))
-
-    def _without(self, levels: list, n: list, total: list, freed: list) -> None:
-        """Takes the text's own share out of the counts: at the highest order how often it has the n-gram, below how many n-grams it alone has there."""
-        own, place = None, None
-        for k in range(WORDS - 1, -1, -1):
-            gram, context = levels[k]
-            _, first, back, times = np.unique(keys(*gram), return_index=True, return_inverse=True, return_counts=True)
-            had = n[k][first]
-            mine = times.astype(float) if own is None else np.bincount(back[place], own, len(first))
-            left = np.maximum(had - mine, 0)
-            if context:
-                d = self.discounts[k]
-                lost = d[np.minimum(had, 3).astype(int)] - d[np.minimum(left, 3).astype(int)]
-                _, group = np.unique(keys(*context), return_inverse=True)
-                at = group[first]
-                total[k] -= np.bincount(at, np.minimum(mine, had), group.max() + 1)[group]
-                freed[k] -= np.bincount(at, lost, group.max() + 1)[group]
-            n[k] = left[back]
-            own, place = ((left == 0) & (had > 0)).astype(float), first
-
-
-def _keyed(rows: DataFrame, gram: list[str], values: dict[str, Column | str]) -> DataFrame:
-    """key, n, total, freed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = keys(*(b.column(i).to_numpy().view(np.uint64) for i in range(len(gram))))
-            yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns[len(gram) :]], ["key", "n", "total", "freed"])
+    d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else 2 * y, 3 - 4 * y * n4 / n3 if n3 else 3 * y]
+    return [0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))]
+
+
+def _discount(d: list[float]) -> Column:
+    return F.when(F.col("n") >= 3, d[3]).when(F.col("n") == 2, d[2]).when(F.col("n") == 1, d[1]).otherwise(0.0)
+
+
+def model(gram_counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """By order, from 1: the n-grams with their count less its discount (a, b, rest), and their contexts (a, b, total, freed)."""
+    levels = {ORDER: gram_counts}
+    for m in range(ORDER - 1, 0, -1):
+        a, b = _suffix(m)
+        levels[m] = written(levels[m + 1].groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("n")), f"grams-{m}")
+    few = None
+    for m, rows in levels.items():
+        part = rows.where("n <= 4").groupBy(F.lit(m).alias("m"), "n").agg(F.count(F.lit(1)).alias("k"))
+        few = part if few is None else few.unionByName(part)
+    of = {(r.m, r.n): r.k for r in few.collect()}
+    out = []
+    for m in range(1, ORDER + 1):
+        d = _discount(_discounts(*(of.get((m, n), 0) for n in (1, 2, 3, 4))))
+        a, b = _context()
+        contexts = levels[m].groupBy(a.alias("a"), b.alias("b")).agg(F.sum("n").alias("total"), F.sum(d).alias("freed"))
+        out.append((levels[m].select("a", "b", (F.col("n") - d).alias("rest")), contexts))
+    return out
 
-    cols = [F.coalesce(F.col(values[k]), F.lit(0)).cast(t).alias(k) if k in values else F.lit(0).cast(t).alias(k) for k, t in (("n", "long"), ("total", "long"), ("freed", "double"))]
-    return rows.select(*gram, *cols).mapInArrow(run, "key long, n long, total long, freed double")
 
+def probabilities(grams: DataFrame, gram_counts: DataFrame) -> DataFrame:
+    """grams: distinct a, b. Returns a, b, log_p under the model of these counts."""
+    orders = model(gram_counts)
+    seen = orders[0][0].count()
+    levels = {ORDER: grams}
+    for m in range(ORDER - 1, 0, -1):
+        a, b = _suffix(m)
+        levels[m] = written(levels[m + 1].select(a.alias("a"), b.alias("b")).distinct(), f"asked-{m}")
+    lower = None
+    for m in range(1, ORDER + 1):
+        known, contexts = orders[m - 1]
+        (ca, cb), (sa, sb) = _context(), _suffix(max(m - 1, 1))
+        rows = levels[m].join(known, ["a", "b"], "left").select("a", "b", "rest", ca.alias("ca"), cb.alias("cb"), sa.alias("sa"), sb.alias("sb"))
+        rows = rows.join(contexts.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "total", "freed"), ["ca", "cb"], "left")
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1.0 / (seen + 1)))
+        else:
+            rows = rows.join(lower.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("below")), ["sa", "sb"])
+        p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("freed") * F.col("below")) / F.col("total"))
+        lower = written(rows.select("a", "b", p.alias("p")), f"probabilities-{m}")
+    return lower.select("a", "b", F.log("p").alias("log_p"))
+
+
+def _digest() -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+
+
+def _scored_here(docs: DataFrame, log_p: DataFrame, name: str) -> DataFrame:
+    """Every text is scored where it is read, from all probabilities."""
+
+    def packed() -> tuple[np.ndarray, np.ndarray]:
+        t = log_p.toArrow()
+        key = _key(t.column("a").to_numpy(), t.column("b").to_numpy())
+        order = np.argsort(key)
+        return key[order], t.column("log_p").to_numpy()[order].astype(np.float32)
+
+    shared, at = docs.sparkSession.sparkContext.broadcast(packed()), docs.columns.index("text")
+    keep, places = others(docs, name)
 
-def _model(gram_counts: DataFrame) -> tuple[DataFrame, list[np.ndarray], int, float]:
-    """All counts by key, the discounts of each order, and the total and freed weight of the lowest."""
-    three = gram_counts.where(F.col("level") == WORDS)
-    two = written(three.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    one = written(two.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
-    discounts = []
-    for t in (one, two, three):
-        of = {r.n: r.m for r in t.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
-        discounts.append(_discounts_of(*(of.get(k, 0) for k in (1, 2, 3, 4))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = shared.value
+        for batch in batches:
+            total, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for a, b, owner in _blocks(batch.column(at).to_pylist()):
+                key, _, codes, _ = _distinct(a, b)
+                total += np.bincount(owner, values[np.searchsorted(known, key)][codes], batch.num_rows)
+                size += np.bincount(owner, minlength=batch.num_rows)
+            out = np.exp(-total / np.maximum(size, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(out, mask=size == 0)], [*(f.name for f in keep), name])
 
-    def after(rows: DataFrame, context: list[str], d: np.ndarray) -> DataFrame:
-        free = F.when(F.col("n") == 1, float(d[1])).when(F.col("n") == 2, float(d[2])).otherwise(float(d[3]))
-        return rows.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(free).alias("freed"))
+    return arrow_map(docs, run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))
 
-    every = after(one, [], discounts[0]).first()
-    sums = {"total": "total", "freed": "freed"}
-    parts = [_keyed(three, ["a", "b", "c"], {"n": "n"}), _keyed(two, ["b", "c"], {"n": "n"}), _keyed(one, ["c"], {"n": "n"})]
-    parts += [_keyed(after(three, ["a", "b"], discounts[2]), ["a", "b"], sums), _keyed(after(two, ["b"], discounts[1]), ["b"], sums)]
-    model = parts[0]
-    for p in parts[1:]:
-        model = model.unionByName(p)
-    return written(model, "model"), discounts, every.total or 0, every.freed or 0.0
 
+def _scored_apart(docs: DataFrame, log_p: DataFrame, name: str) -> DataFrame:
+    """Every text sends its n-grams to the probabilities. Sums are by the text's digest, and a mean is the same over copies."""
 
-def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys once each, in rising order, with the sums of their values."""
-    one, back = np.unique(key, return_inverse=True)
-    return one, np.stack([np.bincount(back, values[:, k], len(one)) for k in range(values.shape[1])], 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for a, b, _ in _blocks([text]):
+                    _, place, _, n = _distinct(a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(n), pa.binary()), pa.array(a[place]), pa.array(b[place]), pa.array(n)], ["digest", "a", "b", "n"])
 
+    asked = arrow_map(docs.select(_digest().alias("digest"), "text"), run, "digest binary, a long, b long, n long")
+    sums = asked.join(log_p, ["a", "b"]).groupBy("digest").agg((F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("mean"))
+    sums = written(sums, "sums")
+    keep, places = others(docs, name)
+    rows = docs.select(F.struct(*(F.col(f"`{docs.columns[i]}`") for i in places)).alias("row"), _digest().alias("digest"))
+    return rows.join(sums, "digest", "left").select("row.*", F.exp(-F.col("mean")).alias(name))
 
-def _requests(docs: DataFrame, shards: int) -> DataFrame:
-    """The distinct keys that each chunk needs: chunk, shard, keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            chunks, texts = b.column(0).to_numpy(), b.column(1)
-            for chunk in np.unique(chunks):
-                wanted = [np.zeros(0, np.int64)]
-                for i in np.flatnonzero(chunks == chunk):
-                    if found := words(texts[int(i)].as_py()):
-                        a, b2, c = runs(found)
-                        wanted += [keys(a, b2, c), keys(b2, c), keys(c), keys(a[:1], b2[:1]), keys(b2[:1])]
-                key = np.unique(np.concatenate(wanted))
-                key = key[np.argsort(shard := key % shards, kind="stable")]
-                ends = np.cumsum(np.bincount(shard, minlength=shards))
-                packs = [(s, key[start:end].tobytes()) for s, (start, end) in enumerate(zip([0, *ends], ends)) if end > start]
-                if packs:
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(packs), pa.int64()), pa.array([s for s, _ in packs], pa.int64()), pa.array([k for _, k in packs], pa.binary())], ["chunk", "shard", "keys"])
-
-    return arrow_map(docs.select("__chunk", "text"), run, "chunk long, shard long, keys binary")
-
-
-def _answered(model: pa.Table, asked: pa.Table) -> pa.Table:
-    known, values = _summed(model.column("key").to_numpy(), np.stack([model.column(c).to_numpy().astype(float) for c in ("n", "total", "freed")], 1))
-    rows = []
-    for chunk, pack in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-        key = np.frombuffer(pack, np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            hit = known[at] == key
-            if hit.any():
-                rows.append((chunk, key[hit].tobytes(), values[at[hit]].tobytes()))
-    chunk, key, value = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"chunk": pa.array(chunk, pa.int64()), "keys": pa.array(key, pa.binary()), "found": pa.array(value, pa.binary())})
-
-
-@lru_cache(maxsize=1)
-def _scorer(gram: bytes, n: bytes, discounts: bytes, total: int, freed: float) -> Scorer:
-    """One per Python worker."""
-    return Scorer(_dense(gram, n), list(np.frombuffer(discounts).reshape(WORDS, -1)), total, freed)
-
-
-def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perplexity", own: Column | None = None) -> DataFrame:
-    """docs with the perplexity per symbol of each whole text in a new column, null without n-grams; needs a column text. A name that is taken gets the new
-    meaning. own: whether a document was counted itself."""
-    found = gram_counts.where("level = 0").select(F.col("c").cast("int").alias("gram"), "n").orderBy("gram").toArrow()
-    if found.num_rows > SYMBOLS**ORDER:
-        raise ValueError("more n-grams than the alphabet has")
-    model, discounts, total, freed = _model(gram_counts)
-    packed = tuple(found.column(c).to_numpy().astype(t).tobytes() for c, t in (("gram", np.int32), ("n", np.int64)))
-    tables = docs.sparkSession.sparkContext.broadcast((*packed, np.array(discounts).tobytes(), total, freed))
-    chunk = F.floor(F.monotonically_increasing_id() / CHUNK)
-    docs = written(docs.withColumns({"__own": F.coalesce(own, F.lit(False)) if own is not None else F.lit(False), "__chunk": chunk}), "chunked")
-    shards = max(8, -(-model.count() // SHARD))
-    asked = _requests(docs, shards)
-    answers = model.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).cogroup(asked.groupBy("shard")).applyInArrow(_answered, "chunk long, keys binary, found binary")
-    keep, places = others(docs, name, "__own", "__chunk")
-    schema = T.StructType([*keep, T.StructField(name, T.DoubleType())])
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        scorer = _scorer(*tables.value)
-        key, value = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("found", np.float64)))
-        key, value = _summed(key, value.reshape(-1, 3))
-        out = [scorer.perplexity(x, key, value, o) for x, o in zip(docs.column("text").to_pylist(), docs.column("__own").to_pylist(), strict=True)]
-        return pa.Table.from_arrays([*(docs.column(i) for i in places), pa.array(out, pa.float64())], [*(f.name for f in keep), name])
-
-    return docs.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+def with_perplexity(docs: DataFrame, gram_counts: DataFrame, name: str = "perplexity", most: int = BROADCAST) -> DataFrame:
+    """docs with the perplexity per character of each whole text in a new column, null without n-grams; needs a column text. A name that is taken gets the new
+    meaning."""
+    asked = written(counts(docs).select("a", "b"), "asked")
+    log_p = probabilities(asked, gram_counts)
+    return (_scored_here if log_p.limit(most + 1).count() <= most else _scored_apart)(docs, log_p, name)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -364,16 +247,22 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return enough.groupBy("lang", "known").agg(F.exp(F.min("bin") * STEP).alias("threshold"))
 
 
-def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
+
+
+def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, most: int = BROADCAST) -> DataFrame:
     """docs: doc_id, text, lang. trusted: doc_id. Returns doc_id, lang, perplexity, threshold, kept."""
     ids = small(written(trusted.select("doc_id").distinct(), "trusted"))
-    found = written(counts(docs.join(ids, "doc_id", "left_semi")), "grams")
-    marked = docs.select("doc_id", "lang", "text").join(ids.withColumn("__trusted", F.lit(True)), "doc_id", "left")
-    scored = written(with_perplexity(marked, found, own=F.col("__trusted")).drop("text", "__trusted"), "perplexity")
-    limits = written(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
-    own = small(limits.where("known").select(F.col("lang").alias("__lang"), "threshold"))
+    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").where(~held_out(F.col("doc_id")))
+    found = written(counts(own), "grams")
+    scored = written(with_perplexity(docs.select("doc_id", "lang", "text"), found, most=most).drop("text"), "perplexity")
+    of_trusted = written(scored.join(ids, "doc_id", "left_semi"), "of-trusted")
+    apart = of_trusted.where(held_out(F.col("doc_id")) & F.col("perplexity").isNotNull())
+    limits = written(thresholds(apart if apart.limit(1).count() else of_trusted, quantile), "thresholds")
+    by_lang = small(limits.where("known").select(F.col("lang").alias("__lang"), "threshold"))
     every = limits.where("NOT known").select("threshold").first()
-    rows = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    rows = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     limit = F.coalesce("threshold", F.lit(every.threshold if every else None).cast("double"))
     kept = F.col("perplexity").isNotNull() & (F.coalesce(limit, F.col("perplexity")) >= F.col("perplexity"))
     return rows.select("doc_id", "lang", "perplexity", limit.alias("threshold"), kept.alias("kept"))
