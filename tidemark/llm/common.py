@@ -27,6 +27,17 @@ def arrow_map(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, once per Python worker. A worker serves one stage after the other, so it holds one such object at a time: a vocabulary or a model."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

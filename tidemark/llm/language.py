@@ -3,18 +3,20 @@
 For every language a suffix automaton of labelled text is built. A text is parsed greedily into the longest phrases that occur in that text; the fewer
 phrases per letter, the closer the language. The language that needs fewest wins; of equals, the first by code point.
 
-The automata are fitted on a bounded sample: per language the ROWS documents of smallest hash (those of up to LONG characters first), no more of them
-than have TRAIN letters, TRAIN symbols of them at most, and STATES symbols over all languages. The prediction itself reads every whole text: its letters, in lower case, other characters as one
-space, in blocks of BLOCK symbols side by side; a phrase ends with its block, for each language alike.
-
-Defined cases: a null text, or one without letters, is `und` with score 0, and so is any text if nothing is labelled; null or blank languages teach
-nothing; repeated rows are predicted each on their own; a column that has the name of a new one gives way to it. The score is 1 - fewest / second fewest phrases, and 1 if there is one language only.
+The automata are fitted on a bounded sample, whose bounds are arguments: per language at most `rows` documents of smallest hash (those of up to `long`
+characters first), no more of them than have `train` letters, `train` symbols of them at most, and `states` symbols over all languages. The prediction
+itself reads every whole text: its letters of any script, in lower case, other characters as one space, in blocks of BLOCK symbols side by side; a phrase
+ends with its block, for each language alike. Letters that aren't among the sample's commonest are spelled by three symbols each, so that rarer scripts
+don't collapse.
+
+Defined cases: a null text, or one without letters, is `und` with score 0, and so is any text if nothing is labelled; a null language teaches nothing, a
+blank one is a language; repeated rows are predicted each on their own; a column that has the name of a new one gives way to it. The score is
+1 - fewest / second fewest phrases, and 1 if there is one language only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,54 +24,73 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, others, table
+from tidemark.llm.common import arrow_map, held, others, small, table, written
 
-ROWS, LONG, TRAIN, STATES, BLOCK, FOLDS = 200, 20_000, 48_000, 480_000, 1024, 5
+ROWS, LONG, TRAIN, STATES, BLOCK, FOLDS, OVER = 200, 20_000, 48_000, 480_000, 1024, 5, 4
 UNKNOWN = "und"
 
-#: Symbols of an automaton: a space, other letters, the commonest letters of the sample; and one that fills up blocks.
-_LETTERS, _LANES = 60, 1 << 13
+#: Symbols of an automaton: a space, the commonest letters of the sample, _NIBBLES to spell other letters with; and one that fills up blocks.
+_LETTERS, _NIBBLES, _LANES = 44, 16, 1 << 13
+_SPELLED = 255
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def sample(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """The labelled texts to learn from, by language: `rows` of each at most, and none once those before it have TRAIN letters. What a language sends to
-    the driver is so at most 3 * TRAIN characters and what stands between TRAIN letters, and no cut of it would have been used."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.trim("lang") != "") & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.length("text") > LONG, F.xxhash64("doc_id"), "doc_id")
-    first = usable.select("lang", "doc_id", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= rows)
-    first = first.select("lang", "n", F.substring("text", 1, 2 * TRAIN).alias("text"))
+def sample(docs: DataFrame, rows: int = ROWS, train: int = TRAIN, long: int = LONG) -> list[tuple[str, str]]:
+    """The labelled texts to learn from, by language: `rows` of each at most, and none once those before it have `train` letters. What a language sends to
+    the driver is so at most 3 * train characters and what stands between train letters, and no cut of it would have been used.
+
+    Documents are counted by language first. Of a language only those travel whose hash is below a bound that lets through about OVER * rows, however many
+    partitions there are."""
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    usable = usable.select("lang", "doc_id", "text", (F.length("text") > long).alias("is_long"), place.alias("place"))
+    sizes = usable.groupBy("lang", "is_long").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("is_long").rowsBetween(-1, -1)), F.lit(0))
+    bound = written(sizes.withColumn("before", before).where(F.col("before") < rows).select("lang", "is_long", (F.lit(float(OVER * rows)) / F.col("n")).alias("bound")), "bounds")
+    order = Window.partitionBy("lang").orderBy("is_long", "place", "doc_id")
+    some = usable.join(small(bound), ["lang", "is_long"]).where(F.col("place") < F.col("bound"))
+    first = some.select("lang", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= rows)
+    first = first.select("lang", "n", F.substring("text", 1, 2 * train).alias("text"))
     before = F.sum(F.regexp_count("text", F.lit(r"\p{L}"))).over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    enough = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < TRAIN)
+    enough = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train)
     return [(r.lang, r.text) for r in enough.select("lang", "n", "text").orderBy("lang", "n").collect()]
 
 
 def _letters(texts: list[str]) -> str:
     counts = np.bincount(np.concatenate([np.frombuffer(t.lower().encode("utf-32-le"), np.uint32) for t in texts]), minlength=128)
     common = [chr(k) for k in np.argsort(-counts, kind="stable")[: 4 * _LETTERS] if counts[k] and chr(k).isalpha()]
-    return "".join(common[: _LETTERS - 2])
+    return "".join(common[:_LETTERS])
 
 
 def _symbols(letters: str) -> np.ndarray:
-    """By code point: 0 for what is no letter, 1 for other letters, then the common ones."""
-    place = {c: i + 2 for i, c in enumerate(letters)}
+    """By code point: 0 for what is no letter, from 1 on the common letters, _SPELLED for others."""
+    place = {c: i + 1 for i, c in enumerate(letters)}
     out = np.zeros(0x110000, np.uint8)
     for k in range(0x32400):  # no letters beyond
         c = chr(k)
         if c.isalpha():
-            out[k] = place.get(c.lower()[0], 1)
+            out[k] = place.get(c.lower()[0], _SPELLED)
     return out
 
 
-def coded(text: str, symbols: np.ndarray) -> np.ndarray:
-    """The text as symbols; runs of other characters than letters are one 0."""
-    x = symbols[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+def coded(text: str, symbols: np.ndarray, letters: int) -> np.ndarray:
+    """The text as symbols; runs of other characters than letters are one 0; letters beside the `letters` common ones are three symbols after those."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    x = symbols[points]
     keep = x != 0
     keep[1:] |= x[:-1] != 0
-    return x[keep]
+    x, points = x[keep], points[keep]
+    rare = x == _SPELLED
+    if not rare.any():
+        return x
+    size = np.where(rare, 3, 1)
+    out, at = np.repeat(x, size), (np.cumsum(size) - size)[rare]
+    for k in range(3):
+        out[at + k] = letters + 1 + (points[rare] >> np.uint32(4 * k)) % _NIBBLES
+    return out
 
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
@@ -114,14 +135,14 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, texts: tuple[tuple[str, str], ...]):
+    def __init__(self, texts: tuple[tuple[str, str], ...], train: int = TRAIN, states: int = STATES):
         self.langs = sorted({lang for lang, _ in texts})
         letters = _letters([t for _, t in texts]) if texts else ""
-        self.symbols, self.width = _symbols(letters), len(letters) + 3
-        most = min(TRAIN, STATES // max(1, len(self.langs)))
+        self.symbols, self.letters, self.width = _symbols(letters), len(letters), len(letters) + _NIBBLES + 2
+        most = min(train, states // max(1, len(self.langs)))
         self.tables = []
         for lang in self.langs:
-            parts = [coded(t + " ", self.symbols) for name, t in texts if name == lang]
+            parts = [coded(t + " ", self.symbols, self.letters) for name, t in texts if name == lang]
             self.tables.append(automaton(np.concatenate(parts)[:most], self.width))
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
@@ -144,17 +165,18 @@ class Model:
                 m = np.ascontiguousarray(np.concatenate(waiting).reshape(-1, BLOCK).T)
                 own = np.concatenate(owners)
                 for row, n in zip(total, self.phrases(m), strict=True):
-                    row += np.bincount(own, n + 1, len(texts)).astype(np.int64)
+                    row += np.bincount(own, n, len(texts)).astype(np.int64)
                 waiting.clear()
                 owners.clear()
 
         known = []
         for i, text in enumerate(texts):
-            x = coded(text, self.symbols) if text else None
+            x = coded(text, self.symbols, self.letters) if text else None
             if x is None or not self.langs or not x.any():
                 continue
             known.append(i)
             n = -(-len(x) // BLOCK)
+            total[:, i] = n  # the last phrase of each block
             waiting.append(np.concatenate([x, np.full(n * BLOCK - len(x), self.width - 1, np.uint8)]))
             owners.append(np.full(n, i))
             held += n
@@ -171,19 +193,18 @@ class Model:
         return names, scores
 
 
-@lru_cache(maxsize=1)
-def model(texts: tuple[tuple[str, str], ...]) -> Model:
+def model(texts: tuple[tuple[str, str], ...], train: int, states: int) -> Model:
     """One per Python worker."""
-    return Model(texts)
+    return held(("language", texts, train, states), lambda: Model(texts, train, states))
 
 
-def with_language(docs: DataFrame, learn_from: DataFrame, name: str = "lang_pred", score: str = "score", within: str | None = None) -> DataFrame:
-    """docs with the predicted language and its score in two new columns; needs a column text, or a struct `within` that has it."""
-    texts = docs.sparkSession.sparkContext.broadcast(tuple(sample(learn_from)))
+def with_language(docs: DataFrame, texts: list[tuple[str, str]], name: str = "lang_pred", score: str = "score", within: str | None = None, train: int = TRAIN, states: int = STATES) -> DataFrame:
+    """docs with the predicted language and its score in two new columns; needs a column text, or a struct `within` that has it. texts: of `sample`."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(texts))
     at, (keep, places) = docs.columns.index(within or "text"), others(docs, name, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(texts.value)
+        m = model(shared.value, train, states)
         for b in batches:
             text = b.column(at).field("text") if within else b.column(at)
             names, scores = m.predict(text.to_pylist())
@@ -194,10 +215,13 @@ def with_language(docs: DataFrame, learn_from: DataFrame, name: str = "lang_pred
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told; all columns stay. Learns from the labelled rows of docs."""
-    return with_language(docs.select(F.struct("*").alias("row")), docs, within="row").where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """docs without those whose language can't be told; all columns stay. Learns from the labelled rows of docs; if there are none, texts with letters stay."""
+    texts = sample(docs)
+    if not texts:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return with_language(docs.select(F.struct("*").alias("row")), texts, within="row").where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return with_language(docs.select("doc_id", "text"), docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return with_language(docs.select("doc_id", "text"), sample(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
