@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. Stages read only their
 predecessor's rows; all but the last return the columns of `documents`. In a stage that filters, what is dropped is: documents whose language can't be
 told; all but the first of equal texts; all but the first of each group of near copies.
+
+Every stage takes nulls in any column, empty tables, repeated rows, and further columns of any name, which it carries along unread.
+- language ID: texts that are null or have no letters go; a null lang teaches nothing; without any lang, texts with letters stay.
+- exact dedup: a null text is empty; equal texts are those that differ in white space only; the smallest doc_id stays, a null one only if there's no
+  other; of repeated rows one stays.
+- SimHash near-dedup: near means 2 of 64 bits at most, on 3-word shingles in lower case; a null or empty text has fingerprint 0 and is near like any other;
+  what stays is chosen as above.
+- mixing: a null text has no words; a null source is a source; repeated rows and null doc_ids share one draw.
+- BPE: a null text has no tokens; a document that the mix holds twice is encoded twice.
 """
 
 from __future__ import annotations

@@ -56,3 +56,16 @@ def test_frames(spark, both):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert bpe.round_trip(docs.limit(0), bpe.default_vocabulary(), True).count() == 0
     assert [r.n_tokens for r in bpe.round_trip(docs, bpe.default_vocabulary(), True).where("doc_id = 1").collect()] == [2]
+
+
+def test_query_against_the_library(spark, both):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.op1_bpe(spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    for d, text in texts.items():
+        ids = both[1].encode(text, add_special_tokens=False).ids
+        assert got[d] == (len(ids), sha(",".join(map(str, ids))), sha(both[1].decode(ids, skip_special_tokens=False)))

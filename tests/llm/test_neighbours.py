@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.llm import neighbours
@@ -77,3 +78,21 @@ def test_recall_where_a_third_of_the_vectors_are_near_copies(spark):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
         d[q] = np.inf
         assert [found[k] for k in range(1, 11)] == np.lexsort((np.arange(n), d))[:10].tolist()
+
+
+def test_recall_on_fifty_thousand_skewed_vectors(spark):
+    r = np.random.default_rng(8)
+    n, dim = 50_000, 16
+    x = r.normal(size=(n, dim)) * np.exp(r.normal(size=(n, 1)))
+    x[::3] = x[0] + r.normal(size=(len(x[::3]), dim)) * 0.01  # a third of them near copies
+    x[1::30] = x[1]  # and some equal
+    x = x.astype(np.float32)
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(4)
+    got = {}
+    for row in neighbours.nearest(vectors, F.col("vec_id") % 2500 == 0).collect():
+        got.setdefault(row.query_id, {})[row.rank] = row.vec_id
+    assert len(got) == n // 2500
+    for q, found in got.items():
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        assert [found[k] for k in range(1, 11)] == np.lexsort((np.arange(n), d))[:10].tolist()

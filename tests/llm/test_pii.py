@@ -62,7 +62,9 @@ def test_prose_is_left_alone(text):
 
 def test_frame(spark):
     docs = spark.createDataFrame([(1, "a@b.c 1.2.3.4", 1), (1, "a@b.c 1.2.3.4", 1), (2, None, 2), (3, "", 3), (None, "+49 151 1234567", 4)], "doc_id long, text string, spans int")
-    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_phone, r.spans) for r in pii.spans(docs).collect()), key=str)
+    rows = pii.spans(docs).collect()
+    assert all(r.n_all == r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_phone, r.spans) for r in rows), key=str)
     assert got == sorted([(1, 1, 1, 0, "email:0:5,ip:6:13")] * 2 + [(2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (None, 0, 0, 1, "phone:0:15")], key=str)
     assert pii.spans(docs.limit(0)).count() == 0
 
@@ -95,3 +97,10 @@ def test_gates_let_through_all_that_their_searches_find(monkeypatch):
             seen += bool(edits)
     assert seen > 2000
     assert pii._spelled_soon("eight[dot]eight[dot]eight[dot]eight") and pii._spelled_soon("one(dot)one(dot)one(dot)one")
+
+
+def test_disguises_in_a_very_long_text():
+    lead = "some words, and 12 numbers at a dot. " * 20_000
+    text = lead + "joe1 [at] site [dot] com, " + lead
+    _, found = pii.find(text)
+    assert (len(lead), len(lead) + len("joe1 [at] site [dot] com")) in found[0]

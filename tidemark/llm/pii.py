@@ -274,17 +274,17 @@ def find(text: str | None) -> tuple[list[list[Span]], list[list[Span]]]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, the count of each kind, the digest of the base spans, all spans."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    """Per document: doc_id, the count of each kind, the digest of the base spans, all spans and their count."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_all long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for x in b.column(1):
                 base, every = find(x.as_py())
-                rows.append((*map(len, every), hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(every)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*map(len, every), hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(every), sum(map(len, every))))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()], strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_all"])
 
     return arrow_map(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, schema)
 
