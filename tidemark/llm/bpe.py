@@ -20,14 +20,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_map, others, table
+from tidemark.llm.common import arrow_map, held, others, table
 
 PIECE, LEAF, WINDOW, THREADS = 1 << 16, 1 << 11, 16, 2
 
@@ -168,10 +167,9 @@ class Codec:
         return b"".join([of[k] for k in ids or ()]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One per Python worker."""
-    return Codec(path)
+    return held(("codec", path), lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
