@@ -1,5 +1,5 @@
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import neighbours
@@ -87,7 +87,7 @@ def test_recall_on_fifty_thousand_skewed_vectors(spark):
     x[::3] = x[0] + r.normal(size=(len(x[::3]), dim)) * 0.01  # a third of them near copies
     x[1::30] = x[1]  # and some equal
     x = x.astype(np.float32)
-    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(4)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": x.tolist()})).repartition(4)
     got = {}
     for row in neighbours.nearest(vectors, F.col("vec_id") % 2500 == 0).collect():
         got.setdefault(row.query_id, {})[row.rank] = row.vec_id
