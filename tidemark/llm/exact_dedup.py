@@ -50,7 +50,7 @@ def _one(rows: DataFrame) -> DataFrame:
 
 def groups(rows: DataFrame) -> DataFrame:
     """rows of digests(): per row keep_id, group_size and kept, with the digest in hexadecimal."""
-    heavy, rest = _split(rows, winners(rows))
+    heavy, rest = _split(rows, written(winners(rows), "winners"))
     least = F.col(_ID).eqNullSafe(F.col(_KEEP))
     whole = Window.partitionBy(_DIGEST)
     rest = rest.withColumns({_KEEP: F.min(_ID).over(whole), _SIZE: F.count(F.lit(1)).over(whole)})
