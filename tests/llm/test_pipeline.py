@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_simhash import brute_components, brute_print
 from tokenizers import Tokenizer
 
@@ -60,3 +61,12 @@ def test_stages_take_nulls_repeats_and_clashing_names(spark):
     assert sorted(str(r.doc_id) for r in corpus_pipeline.exact(spark, docs, SF).collect()) == ["1", "2", "4", "5", "6", "None"]
     kept = [str(r.doc_id) for r in corpus_pipeline.near(spark, docs, SF).collect()]
     assert kept.count("1") == 1 and "6" not in kept and "3" not in kept
+
+
+def test_near_copies_are_found_without_large_broadcasts(spark):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "72m")  # a hash table of several columns takes a page of up to 64 MB, however few its rows are
+    try:
+        docs = spark.range(42_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id") % 40_000).alias("text"))
+        assert tuple(corpus_pipeline.near(spark, docs, SF).agg(F.count("doc_id"), F.max("doc_id")).first()) == (40_000, 39_999)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

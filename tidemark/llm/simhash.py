@@ -115,7 +115,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 key, which, home = anchors(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part[which]), pa.array(home)], ["a", "fp", "home"])
 
-    at = prints.select("__fp").mapInArrow(run, "a long, fp long, home boolean")
+    # Spark sizes replicas as if they were no more than the fingerprints, so without the hint it sends up to 34 times its broadcast limit to the driver
+    at = prints.select("__fp").mapInArrow(run, "a long, fp long, home boolean").hint("merge")
     homes, all_of = at.where("home").select("a", F.col("fp").alias("u")), at.select("a", F.col("fp").alias("v"))
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
     return homes.join(all_of, (homes["a"] == all_of["a"]) & (F.col("u") < F.col("v")) & (apart <= distance)).select("u", "v").distinct()
