@@ -94,3 +94,15 @@ def test_many_losers_are_filtered_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(simhash, "small", lambda df: df)
     assert sorted(map(tuple, simhash.distinct_documents(docs).collect())) == want
     assert len({x[1] for x in want}) == len(want)
+
+
+def test_replicas_are_shuffled_whatever_spark_takes_their_size_for(spark, tmp_path):
+    spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id") % 30_000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "72m")
+    try:
+        rows = simhash.op9_simhash(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(i, i % 30_000) for i in range(40_000)]
+    plan = simhash.links(spark.range(9).select(F.col("id").alias("__fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
