@@ -1,10 +1,13 @@
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from tidemark.llm import repeats
+from tidemark.plans.storage import scratch
 
 
 def brute(texts, length):
@@ -103,6 +106,28 @@ def test_hot_cores_give_the_same(spark):
     assert any(check(spark, corpus(random.Random(5), 40), 60, 24, hot=1, words=9).values())
 
 
+def test_finished_steps_leave_no_files(spark, monkeypatch):
+    home, seen = f"{scratch(spark).removeprefix('file://')}/tables-{spark.sparkContext.applicationId}", []
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        shuffles = {"_".join(x.split("_")[:2]) for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+        return shuffles | (set(os.listdir(home)) if os.path.isdir(home) else set())
+
+    def resolved(*how, plain=repeats._resolved):
+        for _ in range(50):  # files go in the background
+            if len(left := files() - before) > 2:
+                time.sleep(0.1)
+        seen.append(sorted(x.split("-")[0] for x in left))
+        return plain(*how)
+
+    before = files()
+    monkeypatch.setattr(repeats, "_resolved", resolved)
+    check(spark, corpus(random.Random(3), 40, "abc"), 60, 24, hot=3)
+    assert seen == [["contexts", "heavy"]]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_passages_are_runs_of_words(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefgé") for _ in range(r.randrange(1, 6)))

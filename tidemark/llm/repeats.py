@@ -16,7 +16,7 @@ ranks the runs of WORDS words around the anchor are compared. They are reported
 
 Heavy groups of whole-text copies are settled first, by verified winners that are broadcast; one copy of each stays among the texts to compare with. A
 core that more than HOT positions share is extended with one row per string and sums before the shuffle, so that it never meets in one task. Shuffle
-files of finished steps are released, tables of the shared folder too.
+files of a step go when its table is written, tables of the shared folder when nothing reads them any more.
 
 All ranks are 64-bit fingerprints. That two different strings of a corpus share one is as likely as n * n / 2**65 for n compared strings: 4e-4 for the
 1e8 anchors of 10 GB. A wrong match of cores is undone by the extension, whose fingerprints are compared within a core only.
@@ -370,10 +370,22 @@ def _resolved_hot(rows: DataFrame, length: int, window: int) -> DataFrame:
     one = each.groupBy("r1", "r2", "x", "u", "key", "start").agg(F.count(F.lit(1)).alias("k"))
     sums = one.groupBy("r1", "r2", "x", "u").agg(F.sum("k").alias("c"), F.max("k").alias("copies"), (F.min("key") != F.max("key")).alias("apart"))
     # written, so that both sides of the join are plain shuffles and hot strings can be split
-    again = written(sums.where(F.when(F.col("r2") == _BY_WORDS, F.col("apart") | (F.col("copies") > 1)).otherwise(F.col("c") > 1)), "again")
+    again = _settled(sums.where(F.when(F.col("r2") == _BY_WORDS, F.col("apart") | (F.col("copies") > 1)).otherwise(F.col("c") > 1)), "again")
     return each.join(again, ["r1", "r2", "x", "u"], "left_semi").select("key", "start", "end", (F.col("r2") == _BY_WORDS).alias("worded"))
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """`written`, whose shuffle files go as soon as the table stands. Else they stay until the driver collects its garbage and finds nothing that holds on
+    to them; the next step's files come on top."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(zip(starts, ends, strict=True)):
@@ -426,27 +438,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         raise ValueError(f"a passage must have {GRAM} words at least")
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"))
-    marks = written(docs.select(F.col("doc_id").alias("__id"), F.col("key").alias("__digest")), "marks")
-    heavy = written(exact_dedup.winners(marks).select(F.col("__digest").alias("key"), F.col("__keep").alias("keep"), F.lit(True).alias("copied")), "heavy")
+    marks = _settled(docs.select(F.col("doc_id").alias("__id"), F.col("key").alias("__digest")), "marks")
+    heavy = _settled(exact_dedup.winners(marks).select(F.col("__digest").alias("key"), F.col("__keep").alias("keep"), F.lit(True).alias("copied")), "heavy")
     docs = docs.join(F.broadcast(heavy), "key", "left")
     pool = docs.where(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).where(F.octet_length("text") >= min(length, 2 * words - 1)).select("key", "text")
 
-    ranked = written(_ranked(pool, length, window, words), "ranked")
-    shared = written(ranked.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    ranked = _settled(_ranked(pool, length, window, words), "ranked")
+    shared = _settled(ranked.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     release(marks)
-    left = written(ranked.join(shared, _PAIR), "left")
+    left = _settled(ranked.join(shared, _PAIR), "left")
     release(ranked, shared)
     # a set, so that copies of a text don't each bring the anchors of all
     found = left.groupBy("key").agg(F.collect_set(F.struct("a", "x1", "x2", "r1", "r2", "n")).alias("found"))
     near = _contexts(pool.join(found, "key"), length, window, words)
     is_hot = left.where(F.col("n") > hot).limit(1).count() > 0
     if is_hot:
-        near = written(near, "contexts")
-        spans = written(_resolved(near.where(F.col("n") <= hot), length, window).unionByName(_resolved_hot(near.where(F.col("n") > hot), length, window)), "spans")
+        near = _settled(near, "contexts")
+        release(left)
+        spans = _settled(_resolved(near.where(F.col("n") <= hot), length, window).unionByName(_resolved_hot(near.where(F.col("n") > hot), length, window)), "spans")
         release(near)
     else:
-        spans = written(_resolved(near, length, window), "spans")
-    release(left)
+        spans = _settled(_resolved(near, length, window), "spans")
+        release(left)
     own = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end", "worded")).alias("spans"))
     alone = docs.where(F.col("copied").isNull()).join(own, "key", "left").select("doc_id", "text", "copied", "spans")
     copies = docs.where("copied").select("doc_id", "text", "copied", F.lit(None).cast("array<struct<start:int,end:int,worded:boolean>>").alias("spans"))
