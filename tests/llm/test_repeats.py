@@ -1,9 +1,11 @@
 import os
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import repeats
@@ -106,6 +108,35 @@ def test_hot_cores_give_the_same(spark):
     assert any(check(spark, corpus(random.Random(5), 40), 60, 24, hot=1, words=9).values())
 
 
+def peak(f):
+    """What f() gives, and the MB it takes at most."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_core_that_many_share_takes_little_memory():
+    r, n, w = np.random.default_rng(1), repeats.HOT, repeats.WINDOW - 1
+    before, after = r.integers(0, 256, (2, n, w), np.uint8)
+    before[1], after[1] = before[0], after[0]
+    found, most = peak(lambda: repeats._repeated(repeats._extended(before, after, np.zeros(n, np.uint64)), np.ones((w + 1, n), bool)))
+    assert found[:, :2].all() and not found[:, 2:].any()
+    assert most < 80
+
+
+def test_a_run_that_many_share_takes_little_memory():
+    r, n, k = np.random.default_rng(2), 20_000, repeats.WORDS - repeats.GRAM + 1
+    h = r.integers(0, 1 << 63, (n, k), np.uint64)
+    h[7, 3:9] = h[5, 2:8]
+    span = np.stack([np.tile(np.arange(k), (n, 1)), np.tile(np.arange(k) + 9, (n, 1))], 2).astype(np.int32)
+    b = pa.table({"key": [b"%d" % i for i in range(n)], "before": [x.tobytes() for x in h], "after": [x.tobytes() for x in span]}).combine_chunks()
+    found, most = peak(lambda: [[tuple(map(int, x)) for x in zip(*f, strict=True)] for f in repeats._passages(b)])
+    assert found == [[(5, 2, 16), (7, 3, 17)]]
+    assert most < 60
+
+
 def test_finished_steps_leave_no_files(spark, monkeypatch):
     home, seen = f"{scratch(spark).removeprefix('file://')}/tables-{spark.sparkContext.applicationId}", []
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()

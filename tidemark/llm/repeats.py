@@ -45,6 +45,8 @@ LENGTH, WINDOW, HOT = 400, 192, 50_000
 WORDS, GRAM = 51, 8
 
 _GRAM, _SEGMENT, _PAIR = 8, 1 << 20, ["r1", "r2"]
+#: Runs of words that are sorted at once.
+_SORTED = 1 << 18
 #: The second rank of anchors by words.
 _BY_WORDS = -51
 _LONG_WORD = 1 << 12
@@ -238,17 +240,22 @@ def _bytes(column: pa.Array, width: int, at_end: bool) -> np.ndarray:
     return np.frombuffer(b"".join([fill(x, width, b"\0") for x in parts]), np.uint8).reshape(len(parts), width)
 
 
-def _extended(before: np.ndarray, after: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Extended ranks by x and row: of the x bytes before, the bytes after up to the length, and the salt (which tells rank pairs apart)."""
+def _extended(before: np.ndarray, after: np.ndarray, salt: np.ndarray) -> Iterator[np.ndarray]:
+    """For each x the extended ranks by row: of the x bytes before, the bytes after up to the length, and the salt (which tells rank pairs apart). One x at
+    a time, since all of them take 1.5 KB a row, and a core may have HOT rows."""
     n, w = before.shape
     h = hasher()
     h.grow(2 * w + 3)
-    left, right = np.zeros((w + 1, n), np.uint64), np.zeros((w + 1, n), np.uint64)
-    np.cumsum((h.of[before[:, ::-1]] * h.powers[1 : w + 1]).T, axis=0, out=left[1:])
-    np.cumsum((h.of[after] * h.powers[w + 1 : 2 * w + 1]).T, axis=0, out=right[1:])
-    x = left + right[::-1] + salt * _MIX
-    x ^= x >> np.uint64(32)
-    return x * _MIX
+    before, after = np.ascontiguousarray(before.T), np.ascontiguousarray(after.T)
+    own = salt * _MIX
+    for j in range(w):
+        own += h.of[after[j]] * h.powers[w + 1 + j]
+    for x in range(w + 1):
+        u = own ^ (own >> np.uint64(32))
+        yield u * _MIX
+        if x < w:
+            own += h.of[before[w - 1 - x]] * h.powers[1 + x]
+            own -= h.of[after[w - 1 - x]] * h.powers[2 * w - x]
 
 
 def _runs(is_repeat: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,13 +266,13 @@ def _runs(is_repeat: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray
     return row, a[row] - (high - 1), a[row] - low + length
 
 
-def _repeated(u: np.ndarray, valid: np.ndarray) -> np.ndarray:
+def _repeated(extended: Iterator[np.ndarray], valid: np.ndarray) -> np.ndarray:
     """Where, by x, a valid extended rank occurs more than once."""
-    out = np.zeros(u.shape, bool)
-    for x in range(len(u)):
+    out = np.zeros(valid.shape, bool)
+    for x, u in enumerate(extended):
         own = np.flatnonzero(valid[x])
         if len(own) > 1:
-            k = u[x, own]
+            k = u[own]
             order = np.argsort(k)
             same = k[order[1:]] == k[order[:-1]]
             out[x, own[order[1:][same]]] = out[x, own[order[:-1][same]]] = True
@@ -277,15 +284,10 @@ def _valid(b: pa.RecordBatch | pa.Table, window: int) -> np.ndarray:
     return (x >= b.column("x1").to_numpy()) & (x <= b.column("x2").to_numpy())
 
 
-def _passages(b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """b: anchors by words. Row, start and end of each stretch of runs that another document, or a copy of this one, has too."""
-    size = pa.compute.binary_length(b.column("before")).to_numpy() // 8
-    row = np.repeat(np.arange(b.num_rows), size)
-    h = np.frombuffer(b"".join(b.column("before").to_pylist()), np.uint64)
-    span = np.frombuffer(b"".join(b.column("after").to_pylist()), np.int32).reshape(-1, 2)
-    key = b.column("key").combine_chunks().dictionary_encode().indices.to_numpy()[row]
-    order = np.lexsort((span[:, 0], key, h))
-    h, k, s = h[order], key[order], span[order, 0]
+def _shared(h: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which runs another document, or a copy of this one, has too."""
+    order = np.lexsort((start, key, h))
+    h, k, s = h[order], key[order], start[order]
     head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
     last = np.concatenate([head[1:], [len(h)]]) - 1
@@ -293,6 +295,22 @@ def _passages(b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
     shared = (k[head] != k[last]) | (np.bincount(group, copy, len(head)) > 0)
     on = np.zeros(len(order), bool)
     on[order] = shared[group]
+    return on
+
+
+def _passages(b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """b: anchors by words. Row, start and end of each stretch of runs that another document, or a copy of this one, has too."""
+    size = pa.compute.binary_length(b.column("before")).to_numpy() // 8
+    row = np.repeat(np.arange(b.num_rows, dtype=np.int32), size)
+    h = np.frombuffer(b"".join(b.column("before").to_pylist()), np.uint64)
+    span = np.frombuffer(b"".join(b.column("after").to_pylist()), np.int32).reshape(-1, 2)
+    key = b.column("key").combine_chunks().dictionary_encode().indices.to_numpy()[row]
+    on, parts = np.zeros(len(h), bool), 1 + len(h) // _SORTED
+    part = (h >> np.uint64(32)) % np.uint64(parts)
+    for p in range(parts):  # equal runs are in one part
+        own = np.flatnonzero(part == p)
+        if len(own):
+            on[own] = _shared(h[own], key[own], span[own, 0])
     begin = np.flatnonzero(on & np.concatenate([[True], (row[1:] != row[:-1]) | ~on[:-1]]))
     stop = np.flatnonzero(on & np.concatenate([(row[1:] != row[:-1]) | ~on[1:], [True]]))
     yield row[begin], span[begin, 0], span[stop, 1]
@@ -310,7 +328,7 @@ def _resolved(rows: DataFrame, length: int, window: int) -> DataFrame:
         salt = np.concatenate([[0], np.cumsum((r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]))]).astype(np.uint64)
         ends = np.concatenate([np.flatnonzero(np.diff(salt)) + 1, [len(salt)]])
         at = 0
-        while at < len(salt):  # whole groups, about 8,192 rows at a time, since every row takes 3 KB
+        while at < len(salt):  # whole groups, about 8,192 rows at a time
             end = int(ends[min(np.searchsorted(ends, at + 8192), len(ends) - 1)])
             b, worded = t.slice(at, end - at).combine_chunks(), r2[at:end] == _BY_WORDS
             for which, find in ((np.flatnonzero(worded), _passages), (np.flatnonzero(~worded), lambda p, salt=salt[at:end][~worded]: by_bytes(p, salt))):
@@ -348,7 +366,7 @@ def _resolved_hot(rows: DataFrame, length: int, window: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 s = b.slice(at, 1024)
-                u = _extended(_bytes(s.column("before"), window - 1, True), _bytes(s.column("after"), window - 1, False), np.zeros(s.num_rows, np.uint64))
+                u = np.stack(list(_extended(_bytes(s.column("before"), window - 1, True), _bytes(s.column("after"), window - 1, False), np.zeros(s.num_rows, np.uint64))))
                 x, row = np.nonzero(_valid(s, window))
                 start = s.column("a").to_numpy()[row] - x
                 yield found(s, row, start, start + length, x, u[x, row].view(np.int64))
